@@ -31,6 +31,8 @@ from turnloom.session import cut_lineage
 FREQUENCY_GROUPS = 1 << 18
 #: Texts of a cell from which it is split, and texts of a tile, about.
 HOT = 4096
+#: Ids that are broadcast at most: eight bytes each, 8 MB or a few times that as a hash table.
+BROADCAST_IDS = 1_000_000
 #: Coordinates of the points that boxes bound; a count takes seven bits of a long.
 GROUPS = 8
 
@@ -171,11 +173,18 @@ def candidates(sets: DataFrame, threshold: float, hot: int = HOT) -> DataFrame:
     return (found if large is None else found.unionByName(large)).distinct()
 
 
+def without(sets: DataFrame, ids: DataFrame) -> DataFrame:
+    """sets less the rows of these ids. Few ids travel to the sets; with many, the sets are moved, once."""
+    if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
+        return sets.join(F.broadcast(ids), "id", "left_anti")
+    return cut_lineage(sets.join(ids, "id", "left_anti"))
+
+
 def similar_classes(texts: DataFrame, size: int, least_words: int, threshold: float, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
     """(members, pairs): classes of equal sets, and (a, b, similarity), a < b, of their representatives, verified on whole sets."""
     sets = shingled(texts, size, least_words)
     members = classes(sets)
-    heads = sets.join(members.where("id != rep").select("id"), "id", "left_anti")
+    heads = without(sets, members.where("id != rep").select("id"))
     pairs = cut_lineage(candidates(heads, threshold, hot))
     asked = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     # the few texts asked for are read and hashed again: a text moves cheaper than its set
