@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from turnloom.plans import problems
+from turnloom.plans import problems, registry
+from turnloom.plans import turns as _turns  # noqa: F401, I001  before dashboards, which use its SQL
+from turnloom.plans import dashboards as _dashboards  # noqa: F401
 
-QUERIES = {**problems.QUERIES}
-SQL: dict[str, str] = {}
+QUERIES = {**problems.QUERIES, **registry.QUERIES}
+SQL = {**registry.SQL}
