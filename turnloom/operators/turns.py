@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from turnloom.operators.neighbours import next_row, previous_row, running
 
+COLUMNS = ("id", "session_id", "turn", "role", "original_text", "model_id", "timestamp_ms", "response_time_ms", "original_text_tokens", "code_tokens", "tool_tokens", "system_tokens", "total_lines_added", "total_lines_removed")
 #: Turns of a session in one window task, at most (a turn number given once).
 SPAN = 4096
 
@@ -16,8 +17,8 @@ def _bucket() -> Column:
 
 
 def ordered(turns: DataFrame) -> DataFrame:
-    """The rows that have a place: session and turn given."""
-    return turns.where("session_id is not null and turn is not null")
+    """The rows that have a place, session and turn given, with the columns that matter here."""
+    return turns.select(*COLUMNS).where("session_id is not null and turn is not null")
 
 
 def combined_turns(turns: DataFrame) -> DataFrame:
