@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnloom.llm import conversations, lookalikes, mixture, neardup, pii, secrets, tokens
+from turnloom.llm.sql import SQL  # noqa: F401
 from turnloom.sources.tables import table
 
 
@@ -96,4 +97,3 @@ def p10_canonical(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_redacted, p2_found, p2_redacted, p5_found, p5_conversations, p7_found, p7_groups, p8_ids, p9_mix, p9_report, p10_found, p10_canonical)}
-SQL: dict[str, str] = {}
