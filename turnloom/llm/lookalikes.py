@@ -111,13 +111,14 @@ def variants(documents: DataFrame) -> DataFrame:
     # marks in another order are canonically equal, but the collator compares them as they stand
     ordered = F.coalesce(composed(F.when(F.col("form").rlike(r"\p{M}{2}"), F.col("form"))), "form")
     view = "turnloom_lookalikes"
-    distinct.select("raw", "text", composed(F.col("form")).alias("exact"), ordered.alias("form")).createOrReplaceTempView(view)
+    members = cut_lineage(distinct.select("raw", "text", composed(F.col("form")).alias("exact"), ordered.alias("form")))
+    members.select("exact", "form").createOrReplaceTempView(view)
+    # equal exact forms are equal under the collation, so a digest of it names the class and joins it back
     classes = documents.sparkSession.sql(
-        f"""SELECT collate(form, 'UNICODE') AS look, exact, collect_list(struct(raw, text)) AS members
-            FROM (SELECT raw, text, exact, form FROM {view})
+        f"""SELECT md5(exact) AS class_id, count(*) AS texts FROM {view}
             GROUP BY collate(form, 'UNICODE'), exact HAVING count(*) > 1"""
-    )
-    return classes.select(F.xxhash64("exact").alias("class_id"), F.explode("members").alias("m")).select("m.raw", "class_id", "m.text")
+    ).select("class_id").distinct()
+    return members.select("raw", F.md5("exact").alias("class_id"), "text").join(classes, "class_id").select("raw", "class_id", "text")
 
 
 def pairs(documents: DataFrame) -> DataFrame:
