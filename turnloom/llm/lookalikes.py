@@ -68,7 +68,9 @@ def mapped(text: Column) -> Column:
     rules = F.array(*[F.struct(F.lit(one).alias("one"), F.lit(many).alias("many")) for one, many in several.items()])
     expanded = F.aggregate(rules, text, lambda t, r: F.replace(t, r["one"], r["many"]))
     plain = ~text.rlike(r"[^\t\n\x0b\x0c\r -~]")
-    return F.when(plain, text).otherwise(F.translate(F.when(text.rlike("[" + "".join(several) + "]"), expanded).otherwise(text), before, after))
+    # looked up in a table: a class of that many characters is tried one by one
+    holds_several = F.translate(text, "".join(several), "") != text
+    return F.when(plain, text).otherwise(F.translate(F.when(holds_several, expanded).otherwise(text), before, after))
 
 
 def composed(text: Column) -> Column:
@@ -96,18 +98,29 @@ def skeleton(text: Column) -> Column:
     return F.xxhash64(F.regexp_replace(text, r"[^0-9_`\n]+", ""))
 
 
-def variants(documents: DataFrame) -> DataFrame:
-    """(raw, class_id, text): the distinct texts that look like another distinct text, with their class.
+#: Documents that are looked up by a broadcast list of ids, at most; more are looked up by a shuffled one.
+BROADCAST_IDS = 1_000_000
+
+
+def digests(documents: DataFrame) -> DataFrame:
+    """(doc_id, raw, skeleton) of each document with visible text: all that most of them ever contribute. Written once."""
+    rows = documents.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).where(~is_blank(F.col("text")))
+    return cut_lineage(rows.select("doc_id", _id(F.col("text")).alias("raw"), skeleton(mapped(F.col("text"))).alias("skeleton")))
+
+
+def variants(documents: DataFrame, known: DataFrame) -> DataFrame:
+    """(raw, class_id, text): the distinct texts that look like another distinct text, with their class. known: digests(documents).
 
     Texts are taken together under accent-sensitive Unicode collation in SQL; the exact composed form then
     parts those that the collation holds equal though they look different (digits of other scripts).
-    Blank texts have no class.
+    Blank texts have no class. One document of each text that may have a partner is read again.
     """
-    rows = documents.where("text is not null").select("text", mapped(F.col("text")).alias("form")).where(~is_blank(F.col("text")))
-    keyed = rows.select(_id(F.col("text")).alias("raw"), skeleton(F.col("form")).alias("skeleton"))
-    several = keyed.groupBy("skeleton", "raw").agg(F.lit(1).alias("one")).groupBy("skeleton").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("skeleton")
-    near = rows.withColumns({"raw": _id(F.col("text")), "skeleton": skeleton(F.col("form"))}).join(several, "skeleton", "left_semi")
-    distinct = near.groupBy("raw").agg(F.first("text").alias("text"), F.first("form").alias("form"))
+    texts = known.groupBy("skeleton", "raw").agg(F.min("doc_id").alias("doc_id"))
+    several = texts.groupBy("skeleton").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("skeleton")
+    asked = cut_lineage(texts.join(several, "skeleton").select("doc_id"))
+    few = asked.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    near = documents.select("doc_id", "text").join(F.broadcast(asked) if few else asked, "doc_id", "left_semi").where("text is not null")
+    distinct = near.select(_id(F.col("text")).alias("raw"), "text", mapped(F.col("text")).alias("form")).dropDuplicates(["raw"])
     # marks in another order are canonically equal, but the collator compares them as they stand
     ordered = F.coalesce(composed(F.when(F.col("form").rlike(r"\p{M}{2}"), F.col("form"))), "form")
     view = "turnloom_lookalikes"
@@ -124,17 +137,18 @@ def variants(documents: DataFrame) -> DataFrame:
 def pairs(documents: DataFrame) -> DataFrame:
     """(doc_a, doc_b), doc_a < doc_b: every two documents whose texts look the same but aren't equal.
 
-    Texts are paired first and expanded to their copies afterwards, so copies of one text never meet.
+    Texts are paired first and expanded to their copies afterwards, so copies of one text never meet. Documents
+    without a doc_id take no part.
     """
-    known = cut_lineage(variants(documents).select("raw", "class_id"))
-    members = documents.where("text is not null").select("doc_id", _id(F.col("text")).alias("raw")).join(known.select("raw"), "raw", "left_semi")
+    all_ = digests(documents)
+    known = cut_lineage(variants(documents, all_).select("raw", "class_id"))
+    members = all_.select("doc_id", "raw").join(known.select("raw"), "raw", "left_semi")
     a = known.select(F.col("raw").alias("raw_a"), "class_id")
     b = known.select(F.col("raw").alias("raw_b"), "class_id")
     two = a.join(b, "class_id").where("raw_a < raw_b").select("raw_a", "raw_b")
-    members = cut_lineage(members)
     left = members.select(F.col("raw").alias("raw_a"), F.col("doc_id").alias("x"))
     right = members.select(F.col("raw").alias("raw_b"), F.col("doc_id").alias("y"))
-    met = two.join(left, "raw_a").join(right, "raw_b")
+    met = two.join(left, "raw_a").join(right, "raw_b").where("x != y")
     return met.select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"))
 
 
@@ -144,7 +158,7 @@ def canonical(documents: DataFrame) -> DataFrame:
     The canonical member of a class is its shortest text in bytes, of those the least by code points;
     texts that look like no other stay as they are, with a NULL class_id. NULL and blank texts stay too.
     """
-    known = cut_lineage(variants(documents))
+    known = cut_lineage(variants(documents, digests(documents)))
     chosen = known.groupBy("class_id").agg(F.min(F.struct(F.octet_length("text").alias("size"), F.col("text"))).alias("best")).select("class_id", F.col("best.text").alias("canonical"))
     of = known.select("raw", "class_id").join(chosen, "class_id")
     rows = documents.select("doc_id", "text", F.when(F.col("text").isNotNull(), _id(F.col("text"))).alias("raw"))
