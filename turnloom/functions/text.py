@@ -85,3 +85,33 @@ def diff_lines(text: Column, sign: str) -> Column:
 def digest(text: Column) -> Column:
     """sha256 of the trimmed text: tells whether a text has changed since it was embedded."""
     return F.sha2(F.trim(text), 256)
+
+
+def uri_path(uri: Column) -> Column:
+    """The path of a file: URI, percent signs read; other texts stay."""
+    body = F.regexp_replace(uri, "^file://", "")
+    return F.when(uri.startswith("file://"), path(F.url_decode(F.replace(body, F.lit("+"), F.lit("%2B"))))).otherwise(uri)
+
+
+def remote_parts(uri: Column) -> Column:
+    """Struct(kind, host, path) of a remote workspace's URI, NULL for another."""
+    s = F.regexp_replace(uri, "%2B", "+")
+    part = lambda i: F.regexp_extract(s, r"^vscode-remote://([A-Za-z-]+)\+([^/]+)(/.*)?$", i)
+    return F.when(part(1) != "", F.struct(part(1).alias("kind"), part(2).alias("host"), F.coalesce(F.nullif(part(3), F.lit("")), F.lit("/")).alias("path")))
+
+
+def identity(folder: Column, id_: Column) -> Column:
+    """The key by which workspaces are one: folder:<folder in one form>, else id:<id>."""
+    s = F.lower(F.regexp_replace(F.replace(folder, F.lit("\\"), F.lit("/")), "/+$", ""))
+    return F.when(F.coalesce(s, F.lit("")) != "", F.concat(F.lit("folder:"), s)).otherwise(F.concat(F.lit("id:"), id_))
+
+
+def snippet(text: Column, size: int = 160) -> Column:
+    """The first size characters on one line, with three dots where there is more."""
+    s = F.regexp_replace(text, "[\\r\\n]+", " ")
+    return F.when(F.length(s) > size, F.concat(F.substring(s, 1, size), F.lit("..."))).otherwise(s)
+
+
+def folder_id(p: Column) -> Column:
+    """A folder as the id that logs are kept under: every separator a dash."""
+    return F.regexp_replace(p, r"[:/\\.]", "-")

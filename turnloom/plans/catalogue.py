@@ -5,6 +5,7 @@ from __future__ import annotations
 from turnloom.plans import problems, registry
 from turnloom.plans import turns as _turns  # noqa: F401, I001  before dashboards, which use its SQL
 from turnloom.plans import dashboards as _dashboards  # noqa: F401
+from turnloom.plans import lookups as _lookups  # noqa: F401
 from turnloom.plans import relations as _relations  # noqa: F401
 from turnloom.plans import streams as _streams  # noqa: F401
 from turnloom.plans import texts as _texts  # noqa: F401
