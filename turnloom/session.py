@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import os
+import shutil
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -42,3 +46,26 @@ def cut_lineage(df: DataFrame) -> DataFrame:
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="turnloom-"))
     return df.checkpoint(eager=True)
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, once a session, where their path may not have it.
+
+    Nothing is sent if the package's folder is on PYTHONPATH or is the working folder, which workers share.
+    """
+    package = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(package)
+    shared = [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)]
+    context = spark.sparkContext
+    if any(p and os.path.abspath(p) == root for p in shared) or getattr(context, "_turnloom_sent", False):
+        return
+    folder = tempfile.mkdtemp(prefix="turnloom-")  # the driver serves the file for as long as it lives
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    path = os.path.join(folder, "turnloom.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for at, _, names in os.walk(package):
+            for n in names:
+                if n.endswith(".py"):
+                    z.write(os.path.join(at, n), os.path.relpath(os.path.join(at, n), root))
+    context.addPyFile(path)
+    context._turnloom_sent = True
