@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import re
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from turnloom.session import cut_lineage
@@ -14,21 +17,116 @@ K1, B = 1.2, 0.75
 QUERIES, ROWS = 512, 4096
 
 
-def bm25(documents: DataFrame, terms: list[str], key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, score) of the documents that hold every term, scored by BM25 (higher is better).
+@dataclass(frozen=True)
+class Unit:
+    """What a query looks for: a word, the beginning of words (prefix) or words in a row (phrase)."""
+
+    words: tuple[str, ...]
+    prefix: bool = False
+
+    def count(self, words: Column) -> Column:
+        """How often it occurs in an array of words."""
+        if len(self.words) == 1:
+            word = self.words[0]
+            return F.size(F.filter(words, lambda w: w.startswith(word) if self.prefix else w == word))
+        return F.regexp_count(F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" ")), F.lit("(?<= )" + " ".join(self.words) + "(?= )"))
+
 
-    Terms and texts are compared as runs of a-z and 0-9 in lower case. Document numbers and lengths come from the
-    whole table in one pass; only documents with all terms go on. NULL texts take no part; no terms give no rows.
+def _words(text: str) -> tuple[str, ...]:
+    return tuple(re.findall("[a-z0-9]+", text.lower()))
+
+
+def parsed(text: str) -> tuple[object, list[Unit]]:
+    """(expression, units looked for) of a query: words in a row are ANDed, AND, OR, NOT, parentheses, "phrases" and prefix*.
+
+    NOT binds closest, then AND, then OR. An expression is a Unit or ("and" | "or" | "not", left, right). A query that
+    can't be read so is taken as one phrase; without any word it is None.
+    """
+    tokens = re.findall(r'"[^"]*"|[()]|[^\s()"]+|"', text)
+    at = 0
+    found: list[Unit] = []
+
+    def peek() -> str | None:
+        return tokens[at] if at < len(tokens) else None
+
+    def primary(sought: bool) -> object:
+        nonlocal at
+        t = peek()
+        if t is None or t in ("AND", "OR", "NOT", ")", '"'):
+            raise ValueError("a term is missing")
+        at += 1
+        if t == "(":
+            inside = either(sought)
+            if peek() != ")":
+                raise ValueError("a parenthesis is open")
+            at += 1
+            return inside
+        unit = Unit(_words(t), t.endswith("*") and not t.startswith('"'))
+        if not unit.words or unit.prefix and len(unit.words) > 1:
+            raise ValueError("not a term")
+        if sought:
+            found.append(unit)
+        return unit
+
+    def less(sought: bool) -> object:
+        nonlocal at
+        left = primary(sought)
+        while peek() == "NOT":
+            at += 1
+            left = ("not", left, primary(False))
+        return left
+
+    def both(sought: bool) -> object:
+        nonlocal at
+        left = less(sought)
+        while (t := peek()) is not None and t not in ("OR", ")"):
+            if t == "AND":
+                at += 1
+            left = ("and", left, less(sought))
+        return left
+
+    def either(sought: bool) -> object:
+        nonlocal at
+        left = both(sought)
+        while peek() == "OR":
+            at += 1
+            left = ("or", left, both(sought))
+        return left
+
+    try:
+        tree = either(True)
+        if at < len(tokens):
+            raise ValueError("more after the end")
+        return tree, list(dict.fromkeys(found))
+    except ValueError:
+        words = _words(text)
+        return (Unit(words), [Unit(words)]) if words else (None, [])
+
+
+def _holds(tree: object, words: Column) -> Column:
+    if isinstance(tree, Unit):
+        return tree.count(words) > 0
+    kind, left, right = tree
+    a, b = _holds(left, words), _holds(right, words)
+    return a & b if kind == "and" else a | b if kind == "or" else a & ~b
+
+
+def bm25(documents: DataFrame, query: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, score) of the documents that a query holds for, scored by BM25 over what it looks for (higher is better).
+
+    Queries and texts are compared as runs of a-z and 0-9 in lower case; see parsed for the query's language.
+    Document numbers and lengths come from the whole table in one pass; only documents that match go on. NULL texts
+    take no part; a query without words gives no rows.
     """
-    wanted = sorted({t.lower() for t in terms if t})
-    docs = documents.where(F.col(text).isNotNull()).select(F.col(key).alias("key_"), F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: w != "").alias("words"))
-    times = lambda term: F.size(F.filter("words", lambda w: w == term))
-    tf = [times(t).alias(f"tf{i}") for i, t in enumerate(wanted)]
-    counted = docs.select("key_", F.size("words").alias("dl"), *tf)
-    stats = counted.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(wanted))])
-    joined = counted.where(" and ".join(f"tf{i} > 0" for i in range(len(wanted))) or "false").join(F.broadcast(stats))
+    tree, units = parsed(query)
+    docs = documents.where(F.col(text).isNotNull()).select(F.col(key).alias("key_"), F.array_remove(F.split(F.lower(text), "[^a-z0-9]+"), "").alias("words"))
+    words = F.col("words")
+    holds = _holds(tree, words) if tree is not None else F.lit(False)
+    counted = docs.select("key_", F.size("words").alias("dl"), holds.alias("holds"), *[u.count(words).alias(f"tf{i}") for i, u in enumerate(units)])
+    stats = counted.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(units))])
+    joined = counted.where("holds").join(F.broadcast(stats))
     score = F.lit(0.0)
-    for i in range(len(wanted)):
+    for i in range(len(units)):
         idf = F.greatest(F.lit(1e-6), F.log((F.col("n") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5)))
         score = score + idf * F.col(f"tf{i}") * (K1 + 1) / (F.col(f"tf{i}") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     return joined.select(F.col("key_").alias(key), score.alias("score"))

@@ -97,7 +97,14 @@ st AS (SELECT count(*) AS n, avg(dl) AS avgdl, {', '.join(f'count(*) FILTER (tf{
 @query(f"WITH {_BM25} SELECT doc_id, round(score, 6) AS score FROM k")
 def r02_keyword_search(spark: SparkSession, folder: str) -> DataFrame:
     """Documents with all terms and their BM25 scores."""
-    return S.bm25(table(spark, folder, "documents"), TERMS).select("doc_id", F.round("score", 6).alias("score"))
+    return S.bm25(table(spark, folder, "documents"), " ".join(TERMS)).select("doc_id", F.round("score", 6).alias("score"))
+
+
+@query(f"""WITH d AS (SELECT doc_id, {_WORDS} AS w, ' ' || array_to_string({_WORDS}, ' ') || ' ' AS j FROM documents WHERE text IS NOT NULL)
+SELECT doc_id FROM d WHERE (contains(j, ' returns the ') OR list_contains(w, 'heatmap') OR len(list_filter(w, lambda x: starts_with(x, 'histo'))) > 0) AND list_contains(w, 'rows') AND NOT list_contains(w, 'session')""")
+def r04_boolean_search(spark: SparkSession, folder: str) -> DataFrame:
+    """A phrase, a prefix, OR, AND and NOT."""
+    return S.bm25(table(spark, folder, "documents"), '("returns the" OR heatmap OR histo*) rows NOT session').select("doc_id")
 
 
 @query("""WITH p AS (SELECT q.vec_id AS query_id, v.vec_id, list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])) AS s FROM embeddings q JOIN embeddings v ON q.vec_id % 20 = 0 AND q.vec_id != v.vec_id),
@@ -114,7 +121,7 @@ sr AS (SELECT doc_id, row_number() OVER (ORDER BY round(score, 9) DESC, doc_id)
 f AS (SELECT coalesce(kr.doc_id, sr.doc_id) AS doc_id, coalesce(1.0 / (60 + kr.rank), 0) + coalesce(1.0 / (60 + sr.rank), 0) AS raw FROM kr FULL JOIN sr ON kr.doc_id = sr.doc_id) SELECT doc_id, round(CAST(raw / (SELECT max(raw) FROM f) AS DOUBLE), 6) AS score FROM f""")
 def r07_hybrid_search(spark: SparkSession, folder: str) -> DataFrame:
     """Keyword and semantic ranks fused."""
-    keyword = S.ranked(S.bm25(table(spark, folder, "documents"), TERMS), "doc_id", 100)
+    keyword = S.ranked(S.bm25(table(spark, folder, "documents"), " ".join(TERMS)), "doc_id", 100)
     vectors = table(spark, folder, "embeddings")
     semantic = S.nearest(vectors, vectors.where("vec_id = 20"), 100).select(F.col("vec_id").alias("doc_id"), "rank")
     return S.fuse(keyword, semantic, "doc_id").select("doc_id", F.round("score", 6).alias("score"))

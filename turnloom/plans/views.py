@@ -79,7 +79,7 @@ def search(documents: DataFrame, vectors: DataFrame | None = None, text: str = "
         raise ValueError("nothing to search for")
     size = max(1, min(MOST_ROWS, size))
     deep = max(1, number) * size
-    keyword = S.bm25(documents, text.split()) if mode != "semantic" else None
+    keyword = S.bm25(documents, text) if mode != "semantic" else None
     semantic = None
     if mode != "keyword":
         if vectors is None or query_id is None:
