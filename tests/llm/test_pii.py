@@ -2,7 +2,7 @@ import json
 
 import pytest
 
-from turnloom.llm.pii import found, luhn, mod97, redact, scanned, spans
+from turnloom.llm.pii import found, luhn, redact, register97, scanned, spanish_letter, spans
 
 FIELDS = "src string, row_id long, text string, kinds string"
 
@@ -22,6 +22,9 @@ HITS = [
     ("passport no. KC9635136.", "national_id", "KC9635136"),
     ("ID card L18FJC162", "national_id", "L18FJC162"),
     ("personal number 811218-9876", "national_id", "811218-9876"),
+    ("born 85.07.30-033.28 there", "national_id", "85.07.30-033.28"),
+    ("my number 1 84 12 76 451 089 46 is", "national_id", "1 84 12 76 451 089 46"),
+    ("identity 12345678Z", "national_id", "12345678Z"),
     ("lives at 407 Thistle Street.", "address", "407 Thistle Street"),
     ("88 rue de la Fennel, 40411 Sandholt", "address", "88 rue de la Fennel, 40411 Sandholt"),
     ("P.O. Box 5876, 87 Mill Road, Ostravik", "address", "P.O. Box 5876, 87 Mill Road, Ostravik"),
@@ -61,7 +64,8 @@ def test_inside_json_strings():
 
 def test_validators():
     assert luhn("4111111111111111") and not luhn("4111111111111112")
-    assert mod97("GB82 WEST 1234 5698 7654 32") and not mod97("GB82 WEST 1234 5698 7654 33")
+    assert register97("85.07.30-033.28") and not register97("85.07.30-033.29") and register97("184127645108946") and not register97("184127645108947")
+    assert spanish_letter("12345678Z") and spanish_letter("X1234567L") and not spanish_letter("12345678A")
 
 
 def test_tables(spark):
