@@ -24,6 +24,7 @@ HITS = [
     ("personal number 811218-9876", "national_id", "811218-9876"),
     ("born 85.07.30-033.28 there", "national_id", "85.07.30-033.28"),
     ("my number 1 84 12 76 451 089 46 is", "national_id", "1 84 12 76 451 089 46"),
+    ("codice RSSMRA85T10A562S qui", "national_id", "RSSMRA85T10A562S"),
     ("identity 12345678Z", "national_id", "12345678Z"),
     ("lives at 407 Thistle Street.", "address", "407 Thistle Street"),
     ("88 rue de la Fennel, 40411 Sandholt", "address", "88 rue de la Fennel, 40411 Sandholt"),
