@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from turnloom.functions import jsontree as J
 from turnloom.operators.neighbours import previous_row
+from turnloom.operators.store import without_few
 from turnloom.session import cut_lineage
 
 HOLDERS = ("turns", "messages", "conversations")
@@ -84,8 +85,9 @@ def _digest(parts: list[str]) -> int:
 
 
 _CONTENT = pa.map_(pa.string(), pa.int64())
-_PROFILE = pa.schema([("file_id", pa.int64()), ("holder", pa.string()), ("records", pa.int32()), ("fields", pa.map_(pa.string(), pa.string())), ("first", _CONTENT), ("last", _CONTENT), ("first_text", pa.list_(pa.int64())), ("last_text", pa.list_(pa.int64()))])
-PROFILE = "file_id bigint, holder string, records int, fields map<string,string>, first map<string,bigint>, last map<string,bigint>, first_text array<bigint>, last_text array<bigint>"
+_KEYS = [("file_id", pa.int64()), ("install_id", pa.string()), ("rel_path", pa.string()), ("written_at", pa.timestamp("us"))]
+_PROFILE = pa.schema([*_KEYS, ("holder", pa.string()), ("records", pa.int32()), ("fields", pa.map_(pa.string(), pa.string())), ("first", _CONTENT), ("last", _CONTENT), ("first_text", pa.list_(pa.int64())), ("last_text", pa.list_(pa.int64()))])
+PROFILE = "file_id bigint, install_id string, rel_path string, written_at timestamp_ntz, holder string, records int, fields map<string,string>, first map<string,bigint>, last map<string,bigint>, first_text array<bigint>, last_text array<bigint>"
 
 
 def profile_of(payload: str | None) -> tuple | None:
@@ -112,31 +114,38 @@ def profile_of(payload: str | None) -> tuple | None:
 
 def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = [(i, *p) for i, text in zip(batch[0].to_pylist(), batch[1].to_pylist()) if (p := profile_of(text))]
+        keys = zip(*[batch.column(i).to_pylist() for i in range(4)])
+        rows = [(*k, *p) for k, text in zip(keys, batch.column(4).to_pylist()) if (p := profile_of(text))]
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows), _PROFILE)], schema=_PROFILE)
 
 
 def fingerprints(files: DataFrame) -> DataFrame:
-    """(file_id, install_id, rel_path, written_at, *PROFILE, schema_id): one row per file that counts.
+    """(*PROFILE, schema_id): one row per file that counts.
 
     Unreadable files and files without message records are left out, then repeats of a rel_path of an
     install (the lowest file_id stays). schema_id is the digest of holder, names and types. The payload
-    is read once and never shuffled.
+    is read once and never shuffled; profiles are written once, and repeats are found by their keys alone.
     """
-    keys = files.select("file_id", "install_id", "rel_path", "written_at")
-    profile = files.select("file_id", "payload").where("payload is not null").mapInArrow(_profiles, PROFILE)
-    known = keys.join(profile, "file_id")
-    first = known.groupBy("install_id", "rel_path").agg(F.min("file_id").alias("file_id"))
-    fingerprint = F.xxhash64("holder", F.to_json(F.array_sort(F.map_entries("fields"))))
-    return known.join(first.select("file_id"), "file_id", "left_semi").withColumn("schema_id", fingerprint)
+    rows = files.where("payload is not null").select("file_id", "install_id", "rel_path", F.col("written_at").cast("timestamp_ntz").alias("written_at"), "payload").mapInArrow(_profiles, PROFILE)
+    known = cut_lineage(rows.withColumn("schema_id", F.xxhash64("holder", F.to_json(F.array_sort(F.map_entries("fields"))))))
+    keys = known.select("file_id", "install_id", "rel_path")
+    first = keys.groupBy("install_id", "rel_path").agg(F.min("file_id").alias("first_"), F.count(F.lit(1)).alias("n_")).where("n_ > 1")
+    same = F.col("k.install_id").eqNullSafe(F.col("f.install_id")) & F.col("k.rel_path").eqNullSafe(F.col("f.rel_path"))
+    repeats = keys.alias("k").join(first.alias("f"), same).where("k.file_id != first_").select("k.file_id")
+    return without_few(known, repeats, "file_id")
 
 
 def successions(prints: DataFrame) -> DataFrame:
-    """Each file beside the file before it of the same install, by written_at and file_id; the first of an install has none."""
-    value = F.struct("file_id", "holder", "fields", "last", "last_text", "schema_id")
-    paired = previous_row(prints, "install_id", F.to_date("written_at"), ["written_at", "file_id"], value)
-    return paired.where("previous is not null")
+    """Each file whose schema differs from that of the file before it of the same install, by written_at and file_id, with the profile of that file.
+
+    The order is found on narrow rows; profiles are joined only for the pairs that differ.
+    """
+    narrow = prints.select("file_id", "install_id", "written_at", "schema_id")
+    paired = previous_row(narrow, "install_id", F.to_date("written_at"), ["written_at", "file_id"], F.struct("file_id", "schema_id"))
+    changed = paired.where("schema_id != previous.schema_id").select("file_id", F.col("previous.file_id").alias("before_id"))
+    before = prints.select(F.col("file_id").alias("before_id"), F.struct("holder", "fields", "last", "last_text").alias("previous"))
+    return changed.join(prints.select("file_id", "holder", "fields", "first", "first_text"), "file_id").join(before, "before_id")
 
 
 def _candidates(pairs: DataFrame) -> DataFrame:
@@ -179,7 +188,7 @@ def changes(files: DataFrame) -> DataFrame:
     TESTDATA.md defines them. Equal successive schemas, told by schema_id, are left out before anything is
     expanded. No files, or one per install, give no rows. NULL install_ids are one install of their own.
     """
-    pairs = cut_lineage(successions(fingerprints(files)).where("schema_id != previous.schema_id"))
+    pairs = cut_lineage(successions(fingerprints(files)))
     found = renames(_candidates(pairs)).select("file_id", "old_field", "new_field")
     old, new = F.map_keys("previous.fields"), F.map_keys("fields")
     part = lambda change, a, b: F.struct(F.lit(change).alias("change"), a.alias("old_field"), b.alias("new_field"))
@@ -204,7 +213,7 @@ def canonical_names(files: DataFrame, rounds: int = 20) -> DataFrame:
     Chained renames are followed by spreading the least name over the registry; it has a row per pair of
     names, not per file. rounds is far above the length of any chain of renames (each round doubles it).
     """
-    steps = cut_lineage(registry(_candidates(successions(fingerprints(files)).where("schema_id != previous.schema_id"))).select("old_field", "new_field"))
+    steps = cut_lineage(registry(_candidates(successions(fingerprints(files)))).select("old_field", "new_field"))
     label = cut_lineage(steps.groupBy(F.col("old_field").alias("field")).agg(F.least(F.min("new_field"), F.first("old_field")).alias("canonical")))
     for _ in range(rounds):
         near = steps.join(label, steps.new_field == label.field).groupBy("old_field").agg(F.min("canonical").alias("near_"))
