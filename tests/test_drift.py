@@ -1,7 +1,7 @@
 import json
 from datetime import datetime, timedelta
 
-from turnloom.operators.drift import canonical_names, changes, leaves, records_of, unified
+from turnloom.operators.drift import canonical_names, changes, content_of, leaves, records_of, unified
 
 FILES = "file_id long, install_id string, rel_path string, cli_version string, written_at timestamp_ntz, payload string, change string"
 LONG = "a text that is long enough to tell a message"
@@ -63,3 +63,30 @@ def test_parts():
     assert records_of("[]") == records_of(None) == records_of("5") == (None, [])
     assert leaves({"type": "text", "text": "x"}) == leaves([{"name": "x"}]) == leaves("x") == ["x"]
     assert leaves("a;b") == leaves(["b", "a"])
+
+
+def test_unified_keeps_what_values_say(spark):
+    said = "I ran 280 tests in fusion; 8 of them touch the rolling resolver snapshot."
+    df = files(
+        spark,
+        {"messages": [{"text": said, "files": ["z.py", "a.py", "z.py"], "part": {"type": "tool", "id": 7, "name": "grep"}}, {"text": LONG, "files": ["b;c"]}]},
+        {"messages": [{"body": [{"type": "text", "text": LONG}], "files": "z.py;a.py;z.py"}, {"body": {"text": said, "format": "plain"}, "files": ""}, {"body": {"text": said, "format": "html"}}]},
+    )
+    got = {(r.file_id, r.ordinal): json.loads(r.fields) for r in unified(df).collect()}
+    assert got == {
+        (0, 0): {"body": said, "files": '["z.py","a.py","z.py"]', "part": '{"type":"tool","id":7,"name":"grep"}'},
+        (0, 1): {"body": LONG, "files": '["b;c"]'},
+        (1, 0): {"body": LONG, "files": '["z.py","a.py","z.py"]'},
+        (1, 1): {"body": said, "files": "[]"},
+        (1, 2): {"body": '{"text":"' + said + '","format":"html"}'},
+    }
+    few = files(spark, {"messages": [{"tags": "b;a"}, {"tags": "c"}, {"tags": "c"}, {"tags": "c"}, {"tags": ["b", "a"]}, {"tags": ["x;y", "z"]}, {"tags": []}]})
+    assert [json.loads(r.fields)["tags"] for r in unified(few).orderBy("ordinal").collect()] == ["b;a", "c", "c", "c", "b;a", '["x;y","z"]', "[]"]
+
+
+def test_content():
+    assert content_of(records_of('{"messages": [{"a": 1.50}]}')[1][0]["a"]) == ("number", "1.50")
+    assert content_of(True) == ("boolean", "true") and content_of("b;a") == ("string", "b;a")
+    assert content_of([{"type": "text", "text": "x"}]) == content_of({"name": "x"}) == content_of("x") == ("string", "x")
+    assert content_of([{"type": "text", "text": "x"}, {"type": "text", "text": "y"}]) == ("object", '[{"type":"text","text":"x"},{"type":"text","text":"y"}]')
+    assert content_of(["b", "a", "b"]) == ("array", '["b","a","b"]')

@@ -14,7 +14,7 @@ from collections.abc import Iterator
 from hashlib import blake2b
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from turnloom.functions import jsontree as J
@@ -226,8 +226,14 @@ def canonical_names(files: DataFrame, rounds: int = 20) -> DataFrame:
     return label
 
 
-_RECORD = pa.schema([("file_id", pa.int64()), ("holder", pa.string()), ("ordinal", pa.int32()), ("field", pa.string()), ("kind", pa.string()), ("value", pa.string()), ("content", pa.string())])
-RECORD = "file_id bigint, holder string, ordinal int, field string, kind string, value string, content string"
+#: Members that only mark a wrapped text, with the marks that say nothing else.
+_MARKS = {"type": ("text",), "kind": ("text",), "format": ("plain",)}
+_WRAPS = ("text", "name", "value", "content")
+
+_RECORD = pa.schema([("file_id", pa.int64()), ("holder", pa.string()), ("ordinal", pa.int32()), ("field", pa.string()), ("shape", pa.string()), ("value", pa.string()), ("content", pa.string())])
+RECORD = "file_id bigint, holder string, ordinal int, field string, shape string, value string, content string"
+_SHAPE = pa.schema([("field", pa.string()), ("shape", pa.string()), ("n", pa.int64())])
+SHAPE = "field string, shape string, n bigint"
 
 
 def _dump(value: object) -> str:
@@ -236,29 +242,79 @@ def _dump(value: object) -> str:
     return "[" + ",".join(map(_dump, value)) + "]" if isinstance(value, list) else J.scalar(value)
 
 
+def _wrapped(value: object) -> object:
+    """The scalar that an object only wraps: {'name': 'x'}, {'text': 'x', 'format': 'plain'}; None if it holds anything else."""
+    if not isinstance(value, dict):
+        return None
+    inner = [(k, v) for k, v in value.items() if k not in _MARKS or v not in _MARKS[k]]
+    return inner[0][1] if len(inner) == 1 and inner[0][0] in _WRAPS and kind_of(inner[0][1]) in ("string", "number", "boolean") else None
+
+
+def content_of(value: object) -> tuple[str, str]:
+    """(shape, content) of a value that isn't null: what it says as text, in its own order, with nothing left out.
+
+    A scalar, or one that is only wrapped (a list of one text part too), has its type and its own text. A list of scalars is an
+    array; whatever else has members keeps them all and is an object. These two are JSON text.
+    """
+    part = value[0] if isinstance(value, list) and len(value) == 1 else value
+    if (inner := _wrapped(part)) is not None:
+        value = inner
+    kind = kind_of(value)
+    if kind == "array":
+        return ("object" if any(isinstance(v, (dict, list)) or v is None for v in value) else "array"), _dump(value)
+    return kind, value if kind == "string" else _dump(value)
+
+
 def _fields(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
         for i, text in zip(batch[0].to_pylist(), batch[1].to_pylist()):
             holder, records = records_of(text)
             for n, r in enumerate(records):
-                rows += [(i, holder, n, J.clean(k), kind_of(v), J.clean(_dump(v)), J.clean(";".join(leaves(v)))) for k, v in r.items() if v is not None] or [(i, holder, n, None, None, None, None)]
+                found = [(k, v, *content_of(v)) for k, v in r.items() if v is not None]
+                rows += [(i, holder, n, J.clean(k), shape, J.clean(_dump(v)), J.clean(content)) for k, v, shape, content in found] or [(i, holder, n, None, None, None, None)]
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows), _RECORD)], schema=_RECORD)
 
 
+def _shapes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        counts = Counter((J.clean(k), content_of(v)[0]) for text in batch[0].to_pylist() for r in records_of(text)[1] for k, v in r.items() if v is not None)
+        if counts:
+            rows = [(*key, n) for key, n in counts.items()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows), _SHAPE)], schema=_SHAPE)
+
+
+def cast_rules(files: DataFrame) -> DataFrame:
+    """(field, name, target) of each field: its canonical name, and the shape that most values under that name have (of equally many the least)."""
+    counts = files.where("payload is not null").select("payload").mapInArrow(_shapes, SHAPE).groupBy("field", "shape").agg(F.sum("n").alias("n"))
+    named = cut_lineage(counts.join(canonical_names(files), "field", "left").select("field", F.coalesce("canonical", "field").alias("name"), "shape", "n"))
+    votes = named.groupBy("name", "shape").agg(F.sum("n").alias("n")).groupBy("name").agg(F.min_by("shape", F.struct(-F.col("n"), "shape")).alias("target"))
+    return named.select("field", "name").distinct().join(votes, "name")
+
+
+def _cast(target: Column, shape: Column, content: Column) -> Column:
+    """content as the field's target has it: lists as JSON arrays in their order, 'a;b' being one; in other fields a list is joined again unless that would be ambiguous."""
+    scalar = ~shape.isin("array", "object")
+    pieces = F.when(shape != "string", F.array(content)).when(F.trim(content) == "", F.array().cast("array<string>")).otherwise(F.transform(F.split(content, ";", -1), lambda x: F.trim(x)))
+    items = F.from_json(content, "array<string>")
+    joined = F.when(F.size(items) > 0, F.when(~F.exists(items, lambda x: x.contains(";")), F.array_join(items, ";")))
+    return F.when((target == "array") & scalar, F.to_json(pieces)).when((target != "array") & (shape == "array"), F.coalesce(joined, content)).otherwise(content)
+
+
 def unified(files: DataFrame) -> DataFrame:
     """One table of all messages: (file_id, install_id, holder, ordinal, fields, raw).
 
-    fields maps each canonical name (rename rules) to its value as text, whatever wrapping or type a file
-    used (cast rules); a field that a message lacks has no entry (default NULL). raw keeps the values as
-    JSON under the names of the file. Repeats of a file keep their own rows. A message is put together
-    from its own few fields, so no group grows with the data.
+    fields maps each canonical name (rename rules) to its value as text, in one shape per name whatever
+    wrapping or type a file used (cast_rules): texts as they are written, lists in their order with
+    repeats, objects with all their members. A field that a message lacks or has as null has no entry
+    (default NULL). raw keeps the values as JSON under the names of the file. Repeats of a file keep
+    their own rows. A message is put together from its own few fields, so no group grows with the data.
     """
     keys = files.select("file_id", "install_id")
-    names = canonical_names(files)
+    rules = cast_rules(files)
     rows = files.select("file_id", "payload").where("payload is not null").mapInArrow(_fields, RECORD)
-    named = rows.join(names, "field", "left").withColumn("name", F.coalesce("canonical", "field"))
+    named = rows.join(rules, "field", "left").withColumn("content", _cast(F.col("target"), F.col("shape"), F.col("content")))
     one = named.groupBy("file_id", "holder", "ordinal", "name").agg(F.min_by("content", "field").alias("content"), F.collect_list(F.struct("field", "value")).alias("raw"))
     have = F.col("name").isNotNull()
     table = one.groupBy("file_id", "holder", "ordinal").agg(F.map_from_entries(F.array_sort(F.collect_list(F.when(have, F.struct("name", "content"))))).alias("fields"), F.map_from_entries(F.array_sort(F.flatten(F.collect_list(F.when(have, F.col("raw")))))).alias("raw"))
