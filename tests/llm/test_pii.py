@@ -76,3 +76,16 @@ def test_tables(spark):
     out = {r.row_id: r.text for r in scanned(df).collect()}
     assert out[2] is None and out[None] == "" and out[1] == "Ask [EMAIL] or [EMAIL]"
     assert found(df.limit(0)).count() == scanned(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("text,name", [
+    ("Matthew Johnson saw it", "Matthew Johnson"), ("see Dr. George Martin today", "George Martin"), ("Reported by Kevin Brown.", "Kevin Brown"), ("Reported by Quillon Brack.", "Quillon Brack"), ("ask Mr Zebulon Thomas", "Zebulon Thomas"),
+    ("author: Tindra Vokes", "Tindra Vokes"), ("Dear Tindra Vokes,", "Tindra Vokes"), ("Best regards,\nTindra Vokes", "Tindra Vokes"), ("x\n-- \nTindra Vokes", "Tindra Vokes"), ("Tindra Vokes <t.vokes@shop.example>", "Tindra Vokes"), ("tindra@shop.example (Tindra Vokes)", "Tindra Vokes"), ("thanks Tindra Vokesson", "Tindra Vokesson"),
+])
+def test_names_beyond_the_list(text, name):
+    assert name in [text[a:b] for a, b, k in spans(text) if k == "name"]
+
+
+@pytest.mark.parametrize("text", ["Reported by Review Bot", "author: Payments Team", "Dear Token Budget", "from Frozen Legend", "name: Deploy Pages", "Frozen Legend saw it", "Assigned to Nightly Build", "hi API KEY"])
+def test_no_names_beside_cues(text):
+    assert spans(text) == []
