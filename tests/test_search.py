@@ -3,7 +3,8 @@ import random
 import numpy as np
 import pytest
 
-from turnloom.operators.search import Unit, bm25, fuse, nearest, parsed, subsets
+from turnloom.operators.search import Unit, alike, bm25, fuse, nearest, parsed, ranked, ranked_all, subsets
+from turnloom.plans import views
 
 
 @pytest.mark.parametrize("query,wanted", [
@@ -55,3 +56,28 @@ def test_subsets(spark):
     df = spark.createDataFrame([(k, x) for k, s in sets.items() for x in s] + [("k0", None)], "k string, i string")
     want = {(a, b) for a, x in sets.items() for b, y in sets.items() if a != b and x <= y and (len(x) < len(y) or a > b)}
     assert {tuple(x) for x in subsets(df, "k", "i").collect()} == want
+
+
+def test_ranked_all(spark):
+    df = spark.range(500).repartition(7).selectExpr("id", "cast(id * 37 % 50 as double) as score")
+    want = sorted((tuple(r) for r in ranked(df, "id", 500).select("id", "rank").collect()))
+    assert sorted(tuple(r) for r in ranked_all(df, "id").select("id", "rank").collect()) == want
+    assert ranked_all(df.limit(0), "id").count() == 0
+
+
+def test_hybrid_fuses_whole_lists(spark):
+    n = 240
+    docs = spark.createDataFrame([(i, "heatmap " + "word " * i) for i in range(1, n + 1)], "doc_id long, text string")
+    # the nearest vector is that of the document with the last keyword rank
+    vectors = spark.createDataFrame([(0, [1.0, 0.0])] + [(i, [0.2 if i < 20 else 0.3 + i / 1000, 0.0]) for i in range(1, n + 100)], "vec_id long, embedding array<double>")
+    assert alike(vectors, vectors.where("vec_id = 0"), 0.3).count() == n + 80
+    keyword = {i: i for i in range(1, n + 1)}
+    near = {i: r for r, i in enumerate(range(n + 99, 19, -1), 1)}
+    raw = {i: (1 / (60 + keyword[i]) if i in keyword else 0) + (1 / (60 + near[i]) if i in near else 0) for i in keyword | near}
+    order = sorted(raw, key=lambda i: (-raw[i] / max(raw.values()), i))
+    got = views.search(docs, vectors, "heatmap", 0, "hybrid", number=1, size=20).collect()
+    assert [r.doc_id for r in got] == order[:20]
+    assert [r.score for r in got] == pytest.approx([raw[i] / max(raw.values()) for i in order[:20]])
+    assert views.search(docs, vectors, "heatmap", 0, "hybrid", number=4, size=100).count() == len(raw) - 300
+    assert views.search_total(docs, vectors, "heatmap", 0, "hybrid") == len(raw) == n + 99
+    assert views.search_total(docs, vectors, query_id=0, mode="semantic") == n + 80

@@ -132,12 +132,8 @@ def bm25(documents: DataFrame, query: str, key: str = "doc_id", text: str = "tex
     return joined.select(F.col("key_").alias(key), score.alias("score"))
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", least: float | None = None) -> DataFrame:
-    """(query_id, key, score, rank): for each query vector the k rows of the largest dot product, the query itself left out.
-
-    Exact: queries in blocks meet rows in chunks, one matrix product each, in a task of bounded size. Each keeps its
-    k best, so that what is ranked at last is k rows per query and chunk. Rows of another length or NULL are left out.
-    """
+def _products(vectors: DataFrame, queries: DataFrame, k: int | None, key: str, vector: str, least: float | None) -> DataFrame:
+    """(query_id, id, score) of query vectors and other rows: of each chunk of rows the k best with all ties, or all from least on if k is None."""
     some = queries.where(f"{vector} is not null").select(F.col(key).alias("query_id"), F.col(vector).alias("q"))
     rows = vectors.where(f"{vector} is not null").select(F.col(key).alias("id"), F.col(vector).alias("v"))
     blocks = max(1, -(-some.count() // QUERIES))
@@ -160,17 +156,30 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id",
             for query, s in zip(some_q["query_id"], scores):
                 s = np.where(ids == query, -np.inf, s)
                 # the k best with every tie of the last, so that ties are broken by id at the end and not here
-                floor = np.partition(s, -k)[-k] if len(s) > k else -np.inf
-                best = np.flatnonzero((s >= floor) & np.isfinite(s))
+                floor = np.partition(s, -k)[-k] if k is not None and len(s) > k else -np.inf
+                best = np.flatnonzero((s >= (floor if least is None else max(floor, least))) & np.isfinite(s))
                 out.append(pd.DataFrame({"query_id": query, "id": ids[best], "score": s[best]}))
         return pd.concat(out) if out else empty
 
-    part = left.groupBy("block", "chunk").cogroup(right.groupBy("block", "chunk")).applyInPandas(product, "query_id bigint, id bigint, score double")
-    part = part if least is None else part.where(F.col("score") >= least)
+    return left.groupBy("block", "chunk").cogroup(right.groupBy("block", "chunk")).applyInPandas(product, "query_id bigint, id bigint, score double")
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", least: float | None = None) -> DataFrame:
+    """(query_id, key, score, rank): for each query vector the k rows of the largest dot product, the query itself left out.
+
+    Exact: queries in blocks meet rows in chunks, one matrix product each, in a task of bounded size. Each keeps its
+    k best, so that what is ranked at last is k rows per query and chunk. Rows of another length or NULL are left out.
+    """
+    part = _products(vectors, queries, k, key, vector, least)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "id"))
     return part.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("id").alias(key), "score", "rank")
 
 
+def alike(vectors: DataFrame, queries: DataFrame, least: float, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """(query_id, key, score): for each query vector all rows with a dot product of at least least, the query itself left out; as nearest, without ranks."""
+    return _products(vectors, queries, None, key, vector, least).select("query_id", F.col("id").alias(key), "score")
+
+
 def fuse(first: DataFrame, second: DataFrame, key: str, k: int = 60) -> DataFrame:
     """(key, score) by reciprocal rank fusion of two ranked lists (key, rank): sums of 1 / (k + rank), the best scaled to 1."""
     a = first.select(F.col(key).alias("a_"), F.col("rank").alias("ra"))
@@ -187,6 +196,17 @@ def ranked(scores: DataFrame, key: str, k: int) -> DataFrame:
     return cut_lineage(best).withColumn("rank", F.row_number().over(Window.orderBy(F.col("s_").desc(), key))).drop("s_")
 
 
+def ranked_all(scores: DataFrame, key: str) -> DataFrame:
+    """(key, score, rank) of all rows, in the order of ranked, without one task for all: ranks within ranges of the order, after the rows of the ranges before."""
+    order = [F.col("s_").desc(), F.col(key)]
+    rows = cut_lineage(scores.withColumn("s_", F.round("score", 9)).repartitionByRange(*order).withColumn("part_", F.spark_partition_id()))
+    # a row per range
+    sizes = rows.groupBy("part_").agg(F.count(F.lit(1)).alias("n_"))
+    before = sizes.select("part_", F.coalesce(F.sum("n_").over(Window.orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before_"))
+    within = F.row_number().over(Window.partitionBy("part_").orderBy(*order))
+    return rows.withColumn("in_", within).join(F.broadcast(before), "part_").withColumn("rank", F.col("in_") + F.col("before_")).drop("s_", "part_", "in_", "before_")
+
+
 def subsets(sets: DataFrame, key: str, item: str) -> DataFrame:
     """(key, superset): keys whose items all occur under another key; of equal sets the larger key is the subset.
 

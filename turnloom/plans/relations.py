@@ -120,7 +120,7 @@ s AS (SELECT v.vec_id AS doc_id, list_dot_product(CAST(q.embedding AS DOUBLE[]),
 sr AS (SELECT doc_id, row_number() OVER (ORDER BY round(score, 9) DESC, doc_id) AS rank FROM s ORDER BY rank LIMIT 100),
 f AS (SELECT coalesce(kr.doc_id, sr.doc_id) AS doc_id, coalesce(1.0 / (60 + kr.rank), 0) + coalesce(1.0 / (60 + sr.rank), 0) AS raw FROM kr FULL JOIN sr ON kr.doc_id = sr.doc_id) SELECT doc_id, round(CAST(raw / (SELECT max(raw) FROM f) AS DOUBLE), 6) AS score FROM f""")
 def r07_hybrid_search(spark: SparkSession, folder: str) -> DataFrame:
-    """Keyword and semantic ranks fused."""
+    """The first hundred keyword and semantic ranks fused, as its SQL has it; views.search fuses all."""
     keyword = S.ranked(S.bm25(table(spark, folder, "documents"), " ".join(TERMS)), "doc_id", 100)
     vectors = table(spark, folder, "embeddings")
     semantic = S.nearest(vectors, vectors.where("vec_id = 20"), 100).select(F.col("vec_id").alias("doc_id"), "rank")

@@ -71,24 +71,31 @@ def search(documents: DataFrame, vectors: DataFrame | None = None, text: str = "
     """A page of results (doc_id, score) by keyword, semantic or hybrid search.
 
     A blank text and an unknown mode are errors; number is at least 1, size between 1 and 100. Semantic results need
-    a dot product of 0.3, or 0.5 if strict. query_id names the row of vectors to search with.
+    a dot product of 0.3, or 0.5 if strict. query_id names the row of vectors to search with. Hybrid results fuse
+    all matches with all such vectors; the page is taken afterwards.
     """
+    result = _results(documents, vectors, text, query_id, mode, strict, max(1, number) * max(1, min(MOST_ROWS, size)))
+    return charts.page(result, number, size, F.col("score").desc(), F.col("doc_id"))
+
+
+def search_total(documents: DataFrame, vectors: DataFrame | None = None, text: str = "", query_id: int | None = None, mode: str = "keyword", strict: bool = False) -> int:
+    """The number of results on all pages of search; in hybrid mode documents that match or are alike count once."""
+    return _results(documents, vectors, text, query_id, mode, strict, None).count()
+
+
+def _results(documents: DataFrame, vectors: DataFrame | None, text: str, query_id: int | None, mode: str, strict: bool, deep: int | None) -> DataFrame:
+    """All results (doc_id, score) of a search; of semantic ones the deep best, or all if deep is None."""
     if mode not in ("keyword", "semantic", "hybrid"):
         raise ValueError(f"unknown mode {mode}")
     if mode != "semantic" and not text.strip():
         raise ValueError("nothing to search for")
-    size = max(1, min(MOST_ROWS, size))
-    deep = max(1, number) * size
     keyword = S.bm25(documents, text) if mode != "semantic" else None
-    semantic = None
-    if mode != "keyword":
-        if vectors is None or query_id is None:
-            raise ValueError("semantic search needs vectors and the id of one of them")
-        semantic = S.nearest(vectors, vectors.where(F.col("vec_id") == query_id), deep, least=0.5 if strict else 0.3).select(F.col("vec_id").alias("doc_id"), "score", "rank")
     if mode == "keyword":
-        result = keyword
-    elif mode == "semantic":
-        result = semantic.select("doc_id", "score")
-    else:
-        result = S.fuse(S.ranked(keyword, "doc_id", deep), semantic, "doc_id")
-    return charts.page(result, number, size, F.col("score").desc(), F.col("doc_id"))
+        return keyword
+    if vectors is None or query_id is None:
+        raise ValueError("semantic search needs vectors and the id of one of them")
+    least, one = 0.5 if strict else 0.3, vectors.where(F.col("vec_id") == query_id)
+    if mode == "semantic" and deep is not None:
+        return S.nearest(vectors, one, deep, least=least).select(F.col("vec_id").alias("doc_id"), "score")
+    semantic = S.alike(vectors, one, least).select(F.col("vec_id").alias("doc_id"), "score")
+    return semantic if mode == "semantic" else S.fuse(S.ranked_all(keyword, "doc_id"), S.ranked_all(semantic, "doc_id"), "doc_id")
