@@ -94,3 +94,13 @@ def test_gate_on_tables(small):
         for text in filter(None, parquet.read_table(f"{small}/{name}.parquet", columns=[column])[column].to_pylist()):
             plain = S.unescaped(text)[0] if S.has_escapes(text) else text
             assert S.may_hold(plain) or not S.proposals(plain)
+
+
+@pytest.mark.parametrize("length", [401, 600, 5000, 20_000])
+def test_long_values(model, length):
+    r = random.Random(length)
+    value = "".join(r.choice(string.ascii_letters + string.digits) for _ in range(length))
+    for text in (f"<token>{value}</token>", f'client.set_token("{value}")', f'token = "{value}"', f'api_token = "{value[:200]}"\n  "{value[200:]}"'):
+        found = S.spans(text, model)
+        assert sum(b - a for a, b, _ in found) == length, text[:30]
+    assert S.Markov(["ab" * 300]).mean("ab" * 200 + "??" * 200) < S.Markov(["ab" * 300]).mean("ab" * 400)
