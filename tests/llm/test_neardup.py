@@ -4,7 +4,7 @@ from itertools import combinations
 
 import pytest
 
-from turnloom.llm.neardup import components, groups, similar_pairs
+from turnloom.llm.neardup import ENTRIES, _hot_candidates, components, groups, similar_pairs
 
 TEXTS = "id long, text string, shingles string, rep int"
 
@@ -73,3 +73,10 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 50), (7, 100)] + [(200, 201)]
     got = dict(components(spark.createDataFrame(edges, "a long, b long")).collect())
     assert {v for k, v in got.items() if k < 150} == {0} and got[201] == got[200] == 200
+
+
+def test_tiles_of_very_long_texts_meet(spark):
+    """Points that overflowed bound nothing: two equal sets of 100,000 shingles are a candidate of a hot cell."""
+    rows = spark.createDataFrame([(7, i, 100_000, 0, 0, 0, -1, True) for i in (1, 2)] + [(7, 3, 50, 0, 0, 0, 0, True)], ENTRIES)
+    cells = spark.createDataFrame([(7, 3)], "token long, texts long")
+    assert [tuple(r) for r in _hot_candidates(rows, cells, 0.7, 1).collect()] == [(1, 2)]

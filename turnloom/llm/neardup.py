@@ -141,7 +141,8 @@ def _hot_candidates(rows: DataFrame, cells: DataFrame, threshold: float, hot: in
         "tile": F.struct(F.floor(F.log(F.col("n").cast("double")) / np.log(1.2)).cast("int").alias("size"), F.pmod(F.xxhash64("id"), F.ceil(F.col("texts") / hot)).cast("int").alias("part")),
     }).drop("texts", "busy")
     sized = cut_lineage(sized)
-    most = lambda i: F.max(F.when(F.col("counts") < 0, 127 * 64).otherwise(F.shiftright("counts", 7 * i).bitwiseAND(127))).alias(f"c{i}")
+    # a point that overflowed may have all its set in any one group
+    most = lambda i: F.max(F.when(F.col("counts") < 0, F.col("n")).otherwise(F.shiftright("counts", 7 * i).bitwiseAND(127))).alias(f"c{i}")
     boxes = cut_lineage(sized.groupBy("token", "tile").agg(F.min("n").alias("low"), F.max("n").alias("high"), *[most(i) for i in range(GROUPS)]))
     a, b = boxes.alias("a"), boxes.alias("b")
     bound = sum((F.least(f"a.c{i}", f"b.c{i}") for i in range(1, GROUPS)), F.least("a.c0", "b.c0"))
