@@ -89,3 +89,15 @@ def test_names_beyond_the_list(text, name):
 @pytest.mark.parametrize("text", ["Reported by Review Bot", "author: Payments Team", "Dear Token Budget", "from Frozen Legend", "name: Deploy Pages", "Frozen Legend saw it", "Assigned to Nightly Build", "hi API KEY"])
 def test_no_names_beside_cues(text):
     assert spans(text) == []
+
+
+@pytest.mark.parametrize("text,mail", [
+    ("ssh is down, write to jane.roe@x.example", "jane.roe@x.example"), ("rsync done; ask jane.roe@x.example", "jane.roe@x.example"), (f"mail jane at {'a' * 45} dot example now", f"jane at {'a' * 45} dot example"), ("mail jane at\nshop\ndot example", "jane at\nshop\ndot example"),
+])
+def test_mails_that_were_cut(text, mail):
+    assert [(text[a:b], k) for a, b, k in spans(text)] == [(mail, "email")]
+
+
+@pytest.mark.parametrize("text", ["ssh bot@host.example", "ssh -p 22 -i ~/.ssh/k bot@host.example", "scp -r dist bot@host.example:/srv", "rsync -av bot@host.example:x ."])
+def test_remote_shells_are_no_mails(text):
+    assert spans(text) == []
