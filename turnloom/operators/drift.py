@@ -18,8 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from turnloom.functions import jsontree as J
+from turnloom.operators.keys import lacking
 from turnloom.operators.neighbours import previous_row
-from turnloom.operators.store import without_few
 from turnloom.session import cut_lineage
 
 HOLDERS = ("turns", "messages", "conversations")
@@ -133,7 +133,7 @@ def fingerprints(files: DataFrame) -> DataFrame:
     first = keys.groupBy("install_id", "rel_path").agg(F.min("file_id").alias("first_"), F.count(F.lit(1)).alias("n_")).where("n_ > 1")
     same = F.col("k.install_id").eqNullSafe(F.col("f.install_id")) & F.col("k.rel_path").eqNullSafe(F.col("f.rel_path"))
     repeats = keys.alias("k").join(first.alias("f"), same).where("k.file_id != first_").select("k.file_id")
-    return without_few(known, repeats, "file_id")
+    return lacking(known, repeats, "file_id")
 
 
 def successions(prints: DataFrame) -> DataFrame:

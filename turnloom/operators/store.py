@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turnloom.session import cut_lineage
-
 
 def latest(df: DataFrame, keys: list[str], by: str) -> DataFrame:
     """One row per key, the one with the largest by: what remains after upserts in that order. Rows with a NULL key stay apart by their other columns."""
@@ -25,17 +23,6 @@ def without(df: DataFrame, gone: DataFrame, column: str, key: str) -> DataFrame:
     return df.join(gone.select(F.col(key).alias("gone_")).distinct(), F.col(column) == F.col("gone_"), "left_anti")
 
 
-#: Ids that are broadcast at most: eight bytes each, 8 MB or a few times that as a hash table.
-BROADCAST_IDS = 1_000_000
-
-
-def without_few(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
-    """df less the rows of these ids, which are counted first: few are broadcast, so df isn't moved; many are joined by a shuffle, written once."""
-    if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
-        return df.join(F.broadcast(ids), key, "left_anti")
-    return cut_lineage(df.join(ids, key, "left_anti"))
-
-
 def replace_partitions(df: DataFrame, path: str, by: str) -> None:
     """Writes df so that the partitions it holds replace those on disk and the others stay."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)

@@ -17,6 +17,7 @@ DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }
@@ -44,8 +45,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
         folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         if not folder and not context.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="turnloom-"))
-    return df.checkpoint(eager=True)
+        context.setCheckpointDir(folder or _temporary())
+    return df.checkpoint(eager=True).hint("merge")
+
+
+def _temporary() -> str:
+    """A folder of this machine that goes with the process."""
+    folder = tempfile.mkdtemp(prefix="turnloom-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
 
 
 def ship(spark: SparkSession) -> None:
@@ -59,9 +67,7 @@ def ship(spark: SparkSession) -> None:
     context = spark.sparkContext
     if any(p and os.path.abspath(p) == root for p in shared) or getattr(context, "_turnloom_sent", False):
         return
-    folder = tempfile.mkdtemp(prefix="turnloom-")  # the driver serves the file for as long as it lives
-    atexit.register(shutil.rmtree, folder, ignore_errors=True)
-    path = os.path.join(folder, "turnloom.zip")
+    path = os.path.join(_temporary(), "turnloom.zip")  # the driver serves the file for as long as it lives
     with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
         for at, _, names in os.walk(package):
             for n in names:
