@@ -4,6 +4,7 @@ from itertools import combinations
 
 import pytest
 
+from turnloom.llm import neardup
 from turnloom.llm.neardup import ENTRIES, _hot_candidates, components, groups, similar_pairs
 
 TEXTS = "id long, text string, shingles string, rep int"
@@ -80,3 +81,26 @@ def test_tiles_of_very_long_texts_meet(spark):
     rows = spark.createDataFrame([(7, i, 100_000, 0, 0, 0, -1, True) for i in (1, 2)] + [(7, 3, 50, 0, 0, 0, 0, True)], ENTRIES)
     cells = spark.createDataFrame([(7, 3)], "token long, texts long")
     assert [tuple(r) for r in _hot_candidates(rows, cells, 0.7, 1).collect()] == [(1, 2)]
+
+
+def test_copies_meet_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "COPIES", 4)
+    a, b = (" ".join(f"w{i}" for i in range(40)), " ".join(f"w{i}" for i in range(1, 41)))
+    rows = [(i, a if i % 2 else b) for i in range(30)] + [(90, "alone " + a[:60])]
+    df = spark.createDataFrame([(*r, "x", 1) for r in rows], TEXTS)
+    got = [tuple(r) for r in similar_pairs(df).collect()]
+    assert len(got) == len(set(got)) and set(got) == brute(rows, 5, 5, 0.8) and len(got) == 30 * 29 // 2
+
+
+def test_frequencies_are_counts(spark):
+    rows = spark.createDataFrame([(i, [1, 2 + i % 3, 1 << 40]) for i in range(50)], "id long, shingles array<long>").repartition(5)
+    table = neardup.frequencies(rows, 150)
+    assert len(table) == neardup.LEAST_GROUPS and table.sum() == 150 and table[0] == 50 and table[1] == 50 and table[2] == 17
+    assert len(neardup.frequencies(rows.limit(0), 0)) == neardup.LEAST_GROUPS
+
+
+def test_no_broadcast_of_texts_or_ids(spark):
+    """What grows with the data is joined by shuffles; only the table of bits is broadcast."""
+    df = spark.createDataFrame([(i, "x" * i, "x", 1) for i in range(5)], TEXTS)
+    plan = similar_pairs(df)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan

@@ -3,7 +3,7 @@
 Texts are points of group counts: shingles are hashed into groups, and the overlap of two texts is at most the
 sum over groups of the lesser count. Three such bounds are used, from coarse to fine:
 
-* A fixed table of group frequencies over the whole corpus gives one order of all shingles, rarest first. Two
+* A table of group frequencies over the whole corpus gives one order of all shingles, rarest first. Two
   texts of similarity t must share one of their first n - ceil(t n) + 1 shingles in it, which gives the cells
   of the index: a text is entered under each of those shingles and meets only what shares a cell.
 * Cells with more than HOT texts are split into tiles, the leaves of an R-tree: by size and by hash, each with
@@ -18,21 +18,28 @@ partner or candidate is dropped.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from turnloom.operators.keys import having, lacking
 from turnloom.session import cut_lineage
 
-#: Groups of the frequency table: 2**18 counts of four bytes, whatever the size of the corpus.
-FREQUENCY_GROUPS = 1 << 18
+#: Groups of the frequency table, at least and at most: a group for about four shingles, up to 32 MB of counts on the driver and with each task.
+LEAST_GROUPS, MOST_GROUPS = 1 << 16, 1 << 22
+#: Counts of the frequency table that are added up in one row.
+_CHUNK = 1 << 14
+#: Tables of tasks that are added up in one group at most is their number divided by this.
+_SALT = 32
 #: Texts of a cell from which it is split, and texts of a tile, about.
 HOT = 4096
-#: Ids that are broadcast at most: eight bytes each, 8 MB or a few times that as a hash table.
-BROADCAST_IDS = 1_000_000
+#: Copies of one class that meet in one task, at most about.
+COPIES = 1024
 #: Coordinates of the points that boxes bound; a count takes seven bits of a long.
 GROUPS = 8
 
@@ -55,18 +62,42 @@ def shingled(texts: DataFrame, size: int, least_words: int) -> DataFrame:
 
 
 def classes(sets: DataFrame) -> DataFrame:
-    """(id, rep, members): for each text with shingles the least id with the same set, and how many have it."""
+    """(id, rep, members, n): for each text with shingles the least id with the same set, how many have it, and the set's size."""
     key = [F.xxhash64(F.array_sort("shingles")).alias("k1"), F.xxhash64(F.lit(7), F.array_sort("shingles")).alias("k2")]
-    keyed = sets.select("id", *key)
+    keyed = sets.select("id", *key, F.size("shingles").alias("n"))
     heads = keyed.groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("members"))
-    return cut_lineage(keyed.join(heads, ["k1", "k2"]).select("id", "rep", "members"))
+    return cut_lineage(keyed.join(heads.hint("merge"), ["k1", "k2"]).select("id", "rep", "members", "n"))
 
 
-def frequencies(sets: DataFrame) -> np.ndarray:
-    """How many shingles of the corpus fall into each of FREQUENCY_GROUPS groups; a table of fixed size."""
-    counts = sets.select(F.explode_outer("shingles").alias("s")).groupBy(F.col("s").bitwiseAND(FREQUENCY_GROUPS - 1).cast("int").alias("g")).agg(F.count(F.lit(1)).alias("n")).toPandas()
-    table = np.zeros(FREQUENCY_GROUPS, dtype=np.int64)
-    table[counts["g"].to_numpy()] = counts["n"].to_numpy()
+def _added(table: pa.Table) -> pa.Table:
+    total = np.zeros(_CHUNK, dtype="<i8")
+    for packed in table["counts"].to_pylist():
+        total += np.frombuffer(zlib.decompress(packed), dtype="<i8")
+    return table.slice(0, 1).set_column(table.schema.get_field_index("counts"), "counts", pa.array([zlib.compress(total.tobytes(), 1)], pa.binary()))
+
+
+def frequencies(sets: DataFrame, shingles: int) -> np.ndarray:
+    """How many of the corpus's shingles (shingles of them) fall into each group: a table of LEAST_GROUPS to MOST_GROUPS counts.
+
+    Each task counts its own texts into a table and sends it packed, so no shingle is moved.
+    """
+    groups = min(MOST_GROUPS, max(LEAST_GROUPS, (1 << max(shingles, 1).bit_length()) // 4))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros(groups, dtype="<i8")
+        for batch in batches:
+            np.add.at(table, batch.column(0).flatten().to_numpy() & (groups - 1), 1)
+        salt = (TaskContext.get().partitionId() if TaskContext.get() else 0) % _SALT
+        for i in range(groups // _CHUNK):
+            part = table[i * _CHUNK : (i + 1) * _CHUNK]
+            if part.any():
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([salt], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())], names=["chunk", "salt", "counts"])
+
+    schema = "chunk int, salt int, counts binary"
+    parts = sets.select("shingles").mapInArrow(count, schema).groupBy("chunk", "salt").applyInArrow(_added, schema).groupBy("chunk").applyInArrow(_added, schema)
+    table = np.zeros(groups, dtype=np.int64)
+    for row in parts.select("chunk", "counts").collect():
+        table[row.chunk * _CHUNK : (row.chunk + 1) * _CHUNK] = np.frombuffer(zlib.decompress(bytes(row.counts)), dtype="<i8")
     return table
 
 
@@ -78,7 +109,7 @@ def entries_of(ids: np.ndarray, lengths: np.ndarray, tokens: np.ndarray, table:
     """The columns of ENTRIES for texts given by their ids, set sizes and shingles one after another (no set is empty)."""
     doc = np.repeat(np.arange(len(ids)), lengths)
     starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-    frequency = table[tokens & (FREQUENCY_GROUPS - 1)]
+    frequency = table[tokens & (len(table) - 1)]
     order = np.lexsort((tokens, frequency, doc))
     position = np.arange(len(tokens)) - starts[doc]
     bits = (tokens >> 20) & 127
@@ -94,8 +125,8 @@ def entries_of(ids: np.ndarray, lengths: np.ndarray, tokens: np.ndarray, table:
     return [tokens[picked], ids[d], lengths[d].astype(np.int32), position[keep].astype(np.int32), p1[d], p2[d], packed[d], frequency[picked] > hot]
 
 
-def entries(sets: DataFrame, table: np.ndarray, threshold: float, hot: int) -> DataFrame:
-    """The rows of the index: each text under each of its first shingles; see ENTRIES."""
+def entries(sets: DataFrame, table: np.ndarray, threshold: float, hot: int, busy: bool = False) -> DataFrame:
+    """The rows of the index: each text under each of its first shingles; see ENTRIES. busy: only those of groups with more than hot shingles."""
     shared = sets.sparkSession.sparkContext.broadcast(table)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,6 +136,7 @@ def entries(sets: DataFrame, table: np.ndarray, threshold: float, hot: int) -> D
             full = lengths > 0
             if full.any():
                 columns = entries_of(batch.column(0).to_numpy()[full], lengths[full], lists.flatten().to_numpy(), shared.value, threshold, hot)
+                columns = [c[columns[-1]] for c in columns] if busy else columns
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=_ENTRIES)
 
     return sets.select("id", "shingles").mapInArrow(rows, ENTRIES)
@@ -158,44 +190,66 @@ def _hot_candidates(rows: DataFrame, cells: DataFrame, threshold: float, hot: in
     return both.where(may_reach(threshold)).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
 
 
-def candidates(sets: DataFrame, threshold: float, hot: int = HOT) -> DataFrame:
-    """(a, b), a < b: the pairs of texts that no bound rules out, each once."""
-    table = frequencies(sets)
-    rows = entries(sets, table, threshold, hot)
+def candidates(sets: DataFrame, shingles: int, threshold: float, hot: int = HOT) -> DataFrame:
+    """(a, b), a < b: the pairs of texts that no bound rules out, each once. shingles: how many the sets have, about."""
+    table = frequencies(sets, shingles)
+    rows, large = entries(sets, table, threshold, hot), None
     if int(table.max()) > hot:
         # the table bounds the size of every cell, so only entries of busy groups are counted one by one
-        cells = cut_lineage(rows.where("busy").groupBy("token").agg(F.count(F.lit(1)).alias("texts")).where(F.col("texts") > hot))
-        large = _hot_candidates(rows.where("busy"), cells, threshold, hot) if not cells.isEmpty() else None
-        rows = rows.join(cells.select("token"), "token", "left_anti") if large is not None else rows
-    else:
-        large = None
+        full = cut_lineage(entries(sets, table, threshold, hot, busy=True))
+        cells = cut_lineage(full.groupBy("token").agg(F.count(F.lit(1)).alias("texts")).where(F.col("texts") > hot))
+        if not cells.isEmpty():
+            large = _hot_candidates(full, cells, threshold, hot)
+            rows = rows.join(cells.select("token"), "token", "left_anti")
     rows = rows.select("token", "id", "n", "pos", "p1", "p2", "counts")
     found = rows.alias("x").join(rows.alias("y"), F.col("x.token") == F.col("y.token")).where(may_reach(threshold)).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
     return (found if large is None else found.unionByName(large)).distinct()
 
 
-def without(sets: DataFrame, ids: DataFrame) -> DataFrame:
-    """sets less the rows of these ids. Few ids travel to the sets; with many, the sets are moved, once."""
-    if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
-        return sets.join(F.broadcast(ids), "id", "left_anti")
-    return cut_lineage(sets.join(ids, "id", "left_anti"))
-
-
 def similar_classes(texts: DataFrame, size: int, least_words: int, threshold: float, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
     """(members, pairs): classes of equal sets, and (a, b, similarity), a < b, of their representatives, verified on whole sets."""
     sets = shingled(texts, size, least_words)
     members = classes(sets)
-    heads = without(sets, members.where("id != rep").select("id"))
-    pairs = cut_lineage(candidates(heads, threshold, hot))
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    # the few texts asked for are read and hashed again: a text moves cheaper than its set
-    few = shingled(texts.join(asked, "id", "left_semi"), size, least_words)
+    heads = lacking(sets, members.where("id != rep"), "id")
+    shingles = members.where("id = rep").agg(F.sum("n")).first()[0] or 0
+    pairs = cut_lineage(candidates(heads, shingles, threshold, hot))
+    asked = cut_lineage(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    # the texts asked for are read and hashed again: a text moves cheaper than its set
+    few = shingled(having(texts, asked, "id"), size, least_words)
     both = pairs.join(few.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a").join(few.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b")
     shared = F.size(F.array_intersect("sa", "sb"))
     scored = both.select("a", "b", (shared / (F.size("sa") + F.size("sb") - shared)).alias("similarity"))
     return members, scored.where(F.col("similarity") >= threshold)
 
 
+def _blocks(members: Column) -> Column:
+    """Into how many blocks the copies of a class are split."""
+    return F.ceil(members / F.lit(COPIES)).cast("int")
+
+
+def _block(members: Column) -> Column:
+    return F.pmod(F.xxhash64("id"), _blocks(members)).cast("int")
+
+
+def _expanded(met: DataFrame, members: DataFrame) -> DataFrame:
+    """(id_a, id_b) of all copies of the classes that meet. Large classes meet block by block, so none is one task's work."""
+    blocks = members.where("id = rep").select("rep", _blocks(F.col("members")).alias("blocks"))
+    copies = members.select("rep", "id", _block(F.col("members")).alias("block"))
+    for side, name in (("a", "x"), ("b", "y")):
+        of = blocks.select(F.col("rep").alias(side), "blocks")
+        met = met.join(of, side).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+        met = met.join(copies.select(F.col("rep").alias(side), "block", F.col("id").alias(name)), [side, "block"]).drop("block")
+    return met.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
+
+
+def _copies(members: DataFrame) -> DataFrame:
+    """(id_a, id_b) of every two copies of one class, by pairs of blocks."""
+    same = members.where("members > 1").select("rep", "id", _block(F.col("members")).alias("block"), _blocks(F.col("members")).alias("blocks"))
+    left = same.select("rep", F.col("id").alias("x"), F.col("block").alias("i"), F.explode(F.sequence(F.col("block"), F.col("blocks") - 1)).alias("j"))
+    right = same.select("rep", F.col("id").alias("y"), F.col("block").alias("j"), F.explode(F.sequence(F.lit(0), F.col("block"))).alias("i"))
+    return left.join(right, ["rep", "i", "j"]).where("(i = j and x < y) or i < j").select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
+
+
 def _prepared(texts: DataFrame, key: str, text: str) -> DataFrame:
     return texts.select(F.col(key).alias("id"), F.col(text).alias("text")).where("text is not null")
 
@@ -208,12 +262,7 @@ def similar_pairs(texts: DataFrame, key: str = "id", text: str = "text", size: i
     """
     rows = _prepared(texts, key, text)
     members, met = similar_classes(rows, size, least_words, threshold, hot)
-    left = members.select(F.col("rep").alias("a"), F.col("id").alias("x"))
-    right = members.select(F.col("rep").alias("b"), F.col("id").alias("y"))
-    across = met.join(left, "a").join(right, "b").select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
-    same = members.where("members > 1").select("id", "rep")
-    inner = same.alias("x").join(same.alias("y"), F.col("x.rep") == F.col("y.rep")).where("x.id < y.id").select(F.col("x.id").alias("id_a"), F.col("y.id").alias("id_b"))
-    return across.unionByName(inner)
+    return _expanded(met.select("a", "b"), members).unionByName(_copies(members))
 
 
 def components(edges: DataFrame) -> DataFrame:
