@@ -4,22 +4,28 @@ A file's fingerprint is its holder and the names and types of its message fields
 an install differ by a list of changes. That a removed and an added name are one field renamed is decided
 by evidence: a file usually begins with the last message of the file before, so both names hold the same
 content there. The evidence of all installs together is the registry of migration steps (old, new,
-agreeing and disagreeing pairs), and the registry decides where a pair of files has no evidence of its own.
+agreeing and disagreeing pairs), and the registry decides where a pair of files has no evidence of its own,
+over chains of steps of any length.
+
+Each install's schemas are numbered as versions; the steps from one to the next are recorded as a table. All
+messages of all files go into one table: a file's fields are renamed to the least name of their chain, cast to the
+one type that every value of that name fits, and NULL (the default) where a message lacks them.
 """
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
 from hashlib import blake2b
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from turnloom.functions import jsontree as J
 from turnloom.operators.keys import lacking
-from turnloom.operators.neighbours import previous_row
+from turnloom.operators.neighbours import previous_row, running
 from turnloom.session import cut_lineage
 
 HOLDERS = ("turns", "messages", "conversations")
@@ -86,30 +92,45 @@ def _digest(parts: list[str]) -> int:
 
 _CONTENT = pa.map_(pa.string(), pa.int64())
 _KEYS = [("file_id", pa.int64()), ("install_id", pa.string()), ("rel_path", pa.string()), ("written_at", pa.timestamp("us"))]
-_PROFILE = pa.schema([*_KEYS, ("holder", pa.string()), ("records", pa.int32()), ("fields", pa.map_(pa.string(), pa.string())), ("first", _CONTENT), ("last", _CONTENT), ("first_text", pa.list_(pa.int64())), ("last_text", pa.list_(pa.int64()))])
-PROFILE = "file_id bigint, install_id string, rel_path string, written_at timestamp_ntz, holder string, records int, fields map<string,string>, first map<string,bigint>, last map<string,bigint>, first_text array<bigint>, last_text array<bigint>"
+_PROFILE = pa.schema([*_KEYS, ("holder", pa.string()), ("schema_id", pa.int64()), ("records", pa.int32()), ("fields", pa.map_(pa.string(), pa.string())), ("forms", pa.map_(pa.string(), pa.int32())), ("first", _CONTENT), ("last", _CONTENT), ("first_text", pa.list_(pa.int64())), ("last_text", pa.list_(pa.int64()))])
+PROFILE = "file_id bigint, install_id string, rel_path string, written_at timestamp_ntz, holder string, schema_id bigint, records int, fields map<string,string>, forms map<string,int>, first map<string,bigint>, last map<string,bigint>, first_text array<bigint>, last_text array<bigint>"
+
+
+def types_of(records: list[dict]) -> dict[str, str]:
+    """Name to type of the fields of message records; of several types the one most records have (on a tie the first of TYPES)."""
+    types: dict[str, Counter] = {}
+    for r in records:
+        for k, v in r.items():
+            if (kind := kind_of(v)) is not None:
+                types.setdefault(J.clean(k), Counter())[kind] += 1
+    return {k: min(c, key=lambda t: (-c[t], TYPES.index(t))) for k, c in types.items()}
+
+
+def schema_id(holder: str, fields: dict[str, str]) -> int:
+    """The fingerprint of a schema: a digest of holder, names and types."""
+    return _digest([holder, *(f"{k}\x01{t}" for k, t in sorted(fields.items()))])
 
 
 def profile_of(payload: str | None) -> tuple | None:
-    """(holder, records, fields, first, last, first_text, last_text) of a file, None if it has no message records.
+    """(holder, schema_id, records, fields, forms, first, last, first_text, last_text) of a file, None if it has no message records.
 
-    fields: name to type, a field of several types having the one most records have (on a tie the first of TYPES).
+    fields: name to type; forms: name to the forms of all its values (see form_of).
     first, last: name to a digest of its content in the first and last record; *_text: digests of their telling texts.
     """
     holder, records = records_of(payload)
     if not records:
         return None
-    types: dict[str, Counter] = {}
+    fields = types_of(records)
+    forms: dict[str, int] = dict.fromkeys(fields, 0)
     for r in records:
         for k, v in r.items():
-            if (kind := kind_of(v)) is not None:
-                types.setdefault(J.clean(k), Counter())[kind] += 1
-    fields = {k: min(c, key=lambda t: (-c[t], TYPES.index(t))) for k, c in types.items()}
+            if v is not None:
+                forms[J.clean(k)] |= form_of(*content_of(v))
     ends = []
     for r in (records[0], records[-1]):
         contents = {J.clean(k): leaves(v) for k, v in r.items() if v is not None}
         ends.append(({k: _digest(x) for k, x in contents.items()}, sorted({_digest([t]) for x in contents.values() for t in x if len(t) >= TELLING})))
-    return holder, len(records), list(fields.items()), list(ends[0][0].items()), list(ends[1][0].items()), ends[0][1], ends[1][1]
+    return holder, schema_id(holder, fields), len(records), list(fields.items()), list(forms.items()), list(ends[0][0].items()), list(ends[1][0].items()), ends[0][1], ends[1][1]
 
 
 def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,15 +141,14 @@ def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows), _PROFILE)], schema=_PROFILE)
 
 
-def fingerprints(files: DataFrame) -> DataFrame:
-    """(*PROFILE, schema_id): one row per file that counts.
+def profiles(files: DataFrame) -> DataFrame:
+    """(*PROFILE): a row per readable file with message records, repeats too. The payload is read once and never shuffled; profiles are written once."""
+    rows = files.where("payload is not null").select("file_id", "install_id", "rel_path", F.col("written_at").cast("timestamp_ntz").alias("written_at"), "payload")
+    return cut_lineage(rows.mapInArrow(_profiles, PROFILE))
 
-    Unreadable files and files without message records are left out, then repeats of a rel_path of an
-    install (the lowest file_id stays). schema_id is the digest of holder, names and types. The payload
-    is read once and never shuffled; profiles are written once, and repeats are found by their keys alone.
-    """
-    rows = files.where("payload is not null").select("file_id", "install_id", "rel_path", F.col("written_at").cast("timestamp_ntz").alias("written_at"), "payload").mapInArrow(_profiles, PROFILE)
-    known = cut_lineage(rows.withColumn("schema_id", F.xxhash64("holder", F.to_json(F.array_sort(F.map_entries("fields"))))))
+
+def fingerprints(known: DataFrame) -> DataFrame:
+    """The profiles of the files that count: of repeats of a rel_path of an install the lowest file_id. Repeats are found by their keys alone."""
     keys = known.select("file_id", "install_id", "rel_path")
     first = keys.groupBy("install_id", "rel_path").agg(F.min("file_id").alias("first_"), F.count(F.lit(1)).alias("n_")).where("n_ > 1")
     same = F.col("k.install_id").eqNullSafe(F.col("f.install_id")) & F.col("k.rel_path").eqNullSafe(F.col("f.rel_path"))
@@ -165,18 +185,32 @@ def registry(candidates: DataFrame) -> DataFrame:
     return steps.where("agreeing > disagreeing")
 
 
+def supports(steps: DataFrame) -> DataFrame:
+    """(old_field, new_field, support): the pairs of names that a chain of steps joins, of any length.
+
+    A step's support is the number of its agreeing pairs; a chain has the least support of its steps, divided by
+    1,000 for each name in between. A pair keeps the support of its shortest chains. Chains grow by a step a round
+    until none is new; the table has rows for names, not for files.
+    """
+    steps = cut_lineage(steps.select("old_field", "new_field", F.col("agreeing").cast("double").alias("support")))
+    known, latest = steps, steps
+    while True:
+        further = latest.select("old_field", F.col("new_field").alias("via_"), F.col("support").alias("a_")).join(steps.select(F.col("old_field").alias("via_"), "new_field", F.col("support").alias("b_")), "via_").where("old_field != new_field")
+        further = further.groupBy("old_field", "new_field").agg((F.max(F.least("a_", "b_")) / 1000).alias("support"))
+        latest = cut_lineage(further.join(known.select("old_field", "new_field"), ["old_field", "new_field"], "left_anti"))
+        if latest.isEmpty():
+            return known
+        known = cut_lineage(known.unionByName(latest))
+
+
 def renames(candidates: DataFrame) -> DataFrame:
     """(file_id, old_field, new_field) of the names that carry on the same content.
 
     A pair's own evidence counts if the registry agrees in the main; without own evidence the registry
-    decides, directly or over one name in between. Of several partners the best supported one counts,
+    decides, over chains of any length. Of several partners the best supported one counts,
     for each side, so the renames of a file are one to one; ties go by name.
     """
-    steps = registry(candidates)
-    around = steps.select("old_field", F.col("new_field").alias("via_"), F.col("agreeing").alias("a_")).join(steps.select(F.col("old_field").alias("via_"), "new_field", F.col("agreeing").alias("b_")), "via_").where("old_field != new_field")
-    support = steps.select("old_field", "new_field", "agreeing").unionByName(around.select("old_field", "new_field", (F.least("a_", "b_") / 1000).alias("agreeing")), allowMissingColumns=False)
-    support = support.groupBy("old_field", "new_field").agg(F.max("agreeing").alias("support"))
-    scored = candidates.join(support, ["old_field", "new_field"]).where("coalesce(agrees, true)").withColumn("score", F.struct(F.coalesce(F.col("agrees"), F.lit(False)), "support"))
+    scored = candidates.join(supports(registry(candidates)), ["old_field", "new_field"]).where("coalesce(agrees, true)").withColumn("score", F.struct(F.coalesce(F.col("agrees"), F.lit(False)), "support"))
     best = lambda key, other: scored.groupBy("file_id", key).agg(F.max_by(other, F.struct("score", other)).alias(other))
     return best("old_field", "new_field").join(best("new_field", "old_field"), ["file_id", "old_field", "new_field"])
 
@@ -188,8 +222,8 @@ def changes(files: DataFrame) -> DataFrame:
     TESTDATA.md defines them. Equal successive schemas, told by schema_id, are left out before anything is
     expanded. No files, or one per install, give no rows. NULL install_ids are one install of their own.
     """
-    pairs = cut_lineage(successions(fingerprints(files)))
-    found = renames(_candidates(pairs)).select("file_id", "old_field", "new_field")
+    pairs = cut_lineage(successions(fingerprints(profiles(files))))
+    found = cut_lineage(renames(_candidates(pairs)).select("file_id", "old_field", "new_field"))
     old, new = F.map_keys("previous.fields"), F.map_keys("fields")
     part = lambda change, a, b: F.struct(F.lit(change).alias("change"), a.alias("old_field"), b.alias("new_field"))
     nothing = F.lit("")
@@ -207,33 +241,60 @@ def changes(files: DataFrame) -> DataFrame:
     return rest.unionByName(found.select("file_id", F.lit("renamed").alias("change"), "old_field", "new_field"))
 
 
-def canonical_names(files: DataFrame, rounds: int = 20) -> DataFrame:
-    """(field, canonical): each name that takes part in a migration step and the least name of its chain of steps.
+def versions(files: DataFrame) -> DataFrame:
+    """(install_id, version, schema_id, file_id, files, holder, fields): the schemas of each install in order, numbered from 1.
 
-    Chained renames are followed by spreading the least name over the registry; it has a row per pair of
-    names, not per file. rounds is far above the length of any chain of renames (each round doubles it).
+    A version begins with the file (file_id) whose schema differs from that of the file before it and holds for the
+    files up to the next; a schema that comes back is a new version with the same schema_id. fields is a map of
+    names to types. NULL install_ids are one install of their own.
     """
-    steps = cut_lineage(registry(_candidates(successions(fingerprints(files)))).select("old_field", "new_field"))
+    prints = fingerprints(profiles(files))
+    order = ["written_at", "file_id"]
+    rows = previous_row(prints.select("file_id", "install_id", "written_at", "schema_id"), "install_id", F.to_date("written_at"), order, F.struct("schema_id"))
+    rows = rows.withColumn("changed", F.coalesce(F.col("schema_id") != F.col("previous.schema_id"), F.lit(True)).cast("int")).drop("previous")
+    rows = running(rows, "install_id", F.to_date("written_at"), order, sums={"earlier": F.col("changed")})
+    each = rows.groupBy("install_id", (F.col("earlier") + F.col("changed")).cast("int").alias("version")).agg(F.min_by("file_id", F.struct(*order)).alias("file_id"), F.count(F.lit(1)).alias("files"))
+    return each.join(prints.select("file_id", "schema_id", "holder", "fields"), "file_id").select("install_id", "version", "schema_id", "file_id", "files", "holder", "fields")
+
+
+def steps(files: DataFrame) -> DataFrame:
+    """(install_id, version, file_id, change, old_field, new_field): the migration steps that lead from each version to the next; see changes."""
+    made = versions(files).select("install_id", "version", F.col("file_id").alias("at_"))
+    return changes(files).join(made, F.col("file_id") == F.col("at_")).select("install_id", "version", "file_id", "change", "old_field", "new_field")
+
+
+def canonical_names(files: DataFrame) -> DataFrame:
+    """(field, canonical): each name that takes part in a migration step and the least name of its chain of steps."""
+    return _canonical(profiles(files))
+
+
+def _canonical(known: DataFrame) -> DataFrame:
+    """canonical_names of profiles. Chains are followed by spreading the least name over the registry until nothing changes; it has rows for names, not for files."""
+    steps = cut_lineage(registry(_candidates(cut_lineage(successions(fingerprints(known))))).select("old_field", "new_field"))
     label = cut_lineage(steps.groupBy(F.col("old_field").alias("field")).agg(F.least(F.min("new_field"), F.first("old_field")).alias("canonical")))
-    for _ in range(rounds):
+    while True:
         near = steps.join(label, steps.new_field == label.field).groupBy("old_field").agg(F.min("canonical").alias("near_"))
         far = label.select(F.col("field").alias("far_name"), F.col("canonical").alias("far_"))
         step = label.join(near, label.field == near.old_field, "left").join(far, label.canonical == F.col("far_name"), "left").select("field", "canonical", F.least("canonical", "near_", "far_").alias("next_"))
         step = cut_lineage(step)
         label = step.select("field", F.col("next_").alias("canonical"))
         if step.where("next_ != canonical").isEmpty():
-            break
-    return label
+            return label
+
 
+# --- one table of all messages --------------------------------------------------------------------------------
 
 #: Members that only mark a wrapped text, with the marks that say nothing else.
 _MARKS = {"type": ("text",), "kind": ("text",), "format": ("plain",)}
 _WRAPS = ("text", "name", "value", "content")
-
-_RECORD = pa.schema([("file_id", pa.int64()), ("holder", pa.string()), ("ordinal", pa.int32()), ("field", pa.string()), ("shape", pa.string()), ("value", pa.string()), ("content", pa.string())])
-RECORD = "file_id bigint, holder string, ordinal int, field string, shape string, value string, content string"
-_SHAPE = pa.schema([("field", pa.string()), ("shape", pa.string()), ("n", pa.int64())])
-SHAPE = "field string, shape string, n bigint"
+#: The forms of values, as bits: a value that fits several has the first that it fits.
+BOOLEAN, INTEGER, DECIMAL, TEXT, LIST, OBJECT = 1, 2, 4, 8, 16, 32
+#: Numbers whose text a column of that type gives back as it stood.
+_INTEGER = re.compile(r"-?[1-9]\d{0,17}|0")
+_DECIMAL = re.compile(r"-?(?:[1-9]\d{0,8}|0)\.(?:\d{0,5}[1-9])")
+#: Columns of the table, at most; the fields of fewer files go on in extra. Fields that are renamed, at most: what the rules take on the driver.
+MOST_COLUMNS, MOST_NAMES = 1000, 100_000
+_FIXED = ("file_id", "install_id", "holder", "ordinal", "schema_id", "extra", "raw")
 
 
 def _dump(value: object) -> str:
@@ -265,57 +326,117 @@ def content_of(value: object) -> tuple[str, str]:
     return kind, value if kind == "string" else _dump(value)
 
 
-def _fields(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = []
-        for i, text in zip(batch[0].to_pylist(), batch[1].to_pylist()):
-            holder, records = records_of(text)
-            for n, r in enumerate(records):
-                found = [(k, v, *content_of(v)) for k, v in r.items() if v is not None]
-                rows += [(i, holder, n, J.clean(k), shape, J.clean(_dump(v)), J.clean(content)) for k, v, shape, content in found] or [(i, holder, n, None, None, None, None)]
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows), _RECORD)], schema=_RECORD)
-
-
-def _shapes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        counts = Counter((J.clean(k), content_of(v)[0]) for text in batch[0].to_pylist() for r in records_of(text)[1] for k, v in r.items() if v is not None)
-        if counts:
-            rows = [(*key, n) for key, n in counts.items()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows), _SHAPE)], schema=_SHAPE)
-
-
-def cast_rules(files: DataFrame) -> DataFrame:
-    """(field, name, target) of each field: its canonical name, and the shape that most values under that name have (of equally many the least)."""
-    counts = files.where("payload is not null").select("payload").mapInArrow(_shapes, SHAPE).groupBy("field", "shape").agg(F.sum("n").alias("n"))
-    named = cut_lineage(counts.join(canonical_names(files), "field", "left").select("field", F.coalesce("canonical", "field").alias("name"), "shape", "n"))
-    votes = named.groupBy("name", "shape").agg(F.sum("n").alias("n")).groupBy("name").agg(F.min_by("shape", F.struct(-F.col("n"), "shape")).alias("target"))
-    return named.select("field", "name").distinct().join(votes, "name")
-
-
-def _cast(target: Column, shape: Column, content: Column) -> Column:
-    """content as the field's target has it: lists as JSON arrays in their order, 'a;b' being one; in other fields a list is joined again unless that would be ambiguous."""
-    scalar = ~shape.isin("array", "object")
-    pieces = F.when(shape != "string", F.array(content)).when(F.trim(content) == "", F.array().cast("array<string>")).otherwise(F.transform(F.split(content, ";", -1), lambda x: F.trim(x)))
-    items = F.from_json(content, "array<string>")
-    joined = F.when(F.size(items) > 0, F.when(~F.exists(items, lambda x: x.contains(";")), F.array_join(items, ";")))
-    return F.when((target == "array") & scalar, F.to_json(pieces)).when((target != "array") & (shape == "array"), F.coalesce(joined, content)).otherwise(content)
+def form_of(shape: str, content: str) -> int:
+    """The form of a value: what a column must be able to hold for it to come back as it is. '7' fits a number as 7 does, '07' only text."""
+    if shape in ("array", "object"):
+        return LIST if shape == "array" else OBJECT
+    if content in ("true", "false"):
+        return BOOLEAN
+    return INTEGER if _INTEGER.fullmatch(content) else DECIMAL if _DECIMAL.fullmatch(content) else TEXT
+
+
+def column_type(forms: int) -> str:
+    """The narrowest type that every value of these forms casts to without loss. Lists beside scalars are lists; objects make it text (JSON)."""
+    if forms & OBJECT:
+        return "string"
+    if forms & LIST:
+        return "array<string>"
+    return {BOOLEAN: "boolean", INTEGER: "bigint", DECIMAL: "double", INTEGER | DECIMAL: "double"}.get(forms, "string")
+
+
+def cast(kind: str, shape: str, content: str) -> object:
+    """The value of a column of column_type. A text in a column of lists is one of its pieces between ';'."""
+    if kind == "boolean":
+        return content == "true"
+    if kind == "bigint":
+        return int(content)
+    if kind == "double":
+        return float(content)
+    if kind == "array<string>":
+        if shape == "array":
+            return [J.clean(v if isinstance(v, str) else J.scalar(v)) for v in J.parse(content)]
+        return [J.clean(p.strip()) for p in content.split(";")] if shape == "string" and content.strip() else [] if shape == "string" else [content]
+    return J.clean(content)
+
+
+def rules(files: DataFrame) -> DataFrame:
+    """(field, name, type, files): for each field its canonical name (rename rule), that name's type (cast rule), and how many files have the field. The default is NULL."""
+    return _rules(profiles(files))
+
+
+def _rules(known: DataFrame) -> DataFrame:
+    seen = known.select(F.explode("forms").alias("field", "form")).groupBy("field").agg(F.bit_or("form").alias("forms"), F.count(F.lit(1)).alias("files"))
+    named = cut_lineage(seen.join(_canonical(known), "field", "left").select("field", F.coalesce("canonical", "field").alias("name"), "forms", "files"))
+    types = named.groupBy("name").agg(F.bit_or("forms").alias("all_"))
+    kinds = F.create_map(*[F.lit(x) for forms in range(1, 64) for x in (forms, column_type(forms))])
+    return named.join(types, "name").select("field", "name", F.element_at(kinds, F.col("all_")).alias("type"), "files")
+
+
+_ARROW = {"boolean": pa.bool_(), "bigint": pa.int64(), "double": pa.float64(), "array<string>": pa.list_(pa.string()), "string": pa.string()}
+
+
+def columns_of(found: list) -> tuple[dict[str, tuple[str, str]], list[tuple[str, str]]]:
+    """(field to (column, type), columns with their types) of rows of rules: names of the most files first, told apart where they differ by case alone or clash with another column."""
+    weight: Counter = Counter()
+    kinds: dict[str, str] = {}
+    for r in found:
+        weight[r["name"]] += r["files"]
+        kinds[r["name"]] = r["type"]
+    taken = set(_FIXED)
+    columns: dict[str, str] = {}
+    for name in sorted(kinds, key=lambda n: (-weight[n], n))[:MOST_COLUMNS]:
+        column = name or "_"
+        while column.lower() in taken:
+            column += "_"
+        taken.add(column.lower())
+        columns[name] = column
+    of = {r["field"]: (columns[r["name"]], kinds[r["name"]]) for r in found if r["name"] in columns}
+    return of, sorted((c, kinds[n]) for n, c in columns.items())
 
 
 def unified(files: DataFrame) -> DataFrame:
-    """One table of all messages: (file_id, install_id, holder, ordinal, fields, raw).
-
-    fields maps each canonical name (rename rules) to its value as text, in one shape per name whatever
-    wrapping or type a file used (cast_rules): texts as they are written, lists in their order with
-    repeats, objects with all their members. A field that a message lacks or has as null has no entry
-    (default NULL). raw keeps the values as JSON under the names of the file. Repeats of a file keep
-    their own rows. A message is put together from its own few fields, so no group grows with the data.
+    """One table of all messages: (file_id, install_id, holder, ordinal, schema_id, one typed column per canonical name, extra, raw).
+
+    Each file is routed through the rules of its fields: renamed along chains of steps to one name, cast to the
+    column's type, NULL where a message lacks the field or has it as null (see rules, column_type, cast). A
+    column has a type that all its values fit, so no cast fails. Where two fields of one message have the
+    same canonical name, the first in name order is in the column and the others are in extra, under their own
+    names; so every value is in one cell. raw is the message as it stands in the file. Repeats of a file
+    keep their own rows; unreadable files have none. The payload is read twice (rules, rows) and never shuffled: the rules,
+    a row per field name and at most MOST_NAMES of them, are all that is sent to the tasks.
     """
-    keys = files.select("file_id", "install_id")
-    rules = cast_rules(files)
-    rows = files.select("file_id", "payload").where("payload is not null").mapInArrow(_fields, RECORD)
-    named = rows.join(rules, "field", "left").withColumn("content", _cast(F.col("target"), F.col("shape"), F.col("content")))
-    one = named.groupBy("file_id", "holder", "ordinal", "name").agg(F.min_by("content", "field").alias("content"), F.collect_list(F.struct("field", "value")).alias("raw"))
-    have = F.col("name").isNotNull()
-    table = one.groupBy("file_id", "holder", "ordinal").agg(F.map_from_entries(F.array_sort(F.collect_list(F.when(have, F.struct("name", "content"))))).alias("fields"), F.map_from_entries(F.array_sort(F.flatten(F.collect_list(F.when(have, F.col("raw")))))).alias("raw"))
-    return table.join(keys, "file_id").select("file_id", "install_id", "holder", "ordinal", F.to_json("fields").alias("fields"), F.to_json("raw").alias("raw"))
+    known = _rules(profiles(files))
+    of, columns = columns_of(known.orderBy(F.desc("files"), "field").limit(MOST_NAMES).collect())
+    names = [c for c, _ in columns]
+    schema = pa.schema([("file_id", pa.int64()), ("install_id", pa.string()), ("holder", pa.string()), ("ordinal", pa.int32()), ("schema_id", pa.int64()), *[(c, _ARROW[t]) for c, t in columns], ("extra", pa.map_(pa.string(), pa.string())), ("raw", pa.string())])
+    text = ", ".join(["file_id bigint", "install_id string", "holder string", "ordinal int", "schema_id bigint", *[f"`{c.replace('`', '``')}` {t}" for c, t in columns], "extra map<string,string>", "raw string"])
+
+    def routed(record: dict) -> tuple[dict, dict]:
+        cells: dict[str, object] = {}
+        extra: dict[str, str] = {}
+        for k, v in sorted(record.items()):
+            if v is None:
+                continue
+            field, (shape, content) = J.clean(k), content_of(v)
+            column, kind = of.get(field, (None, ""))
+            if column is not None and column not in cells:
+                cells[column] = cast(kind, shape, content)
+                continue
+            while field in extra:
+                field += "_"
+            extra[field] = J.clean(content)
+        return cells, extra
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for i, install, payload in zip(*[batch.column(n).to_pylist() for n in range(3)]):
+                holder, records = records_of(payload)
+                digest = schema_id(holder, types_of(records)) if records else 0
+                for n, r in enumerate(records):
+                    cells, extra = routed(r)
+                    out.append((i, install, holder, n, digest, *map(cells.get, names), list(extra.items()), J.clean(_dump(r))))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*out), schema)], schema=schema)
+
+    return files.where("payload is not null").select("file_id", "install_id", "payload").mapInArrow(rows, text)

@@ -47,3 +47,11 @@ def lacking(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     rows = _flagged(df, cut_lineage(bit_table(own, key)), key)
     moved = cut_lineage(rows.where("maybe_").drop("maybe_").join(own.hint("merge"), key, "left_anti"))
     return rows.where("not maybe_").drop("maybe_").unionByName(moved)
+
+
+def looked_up(df: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """df with the other columns of table by key, NULL where it has none: a left join that moves only rows that may have a partner."""
+    rows = _flagged(df, cut_lineage(bit_table(table.select(key), key)), key)
+    more = [f for f in table.schema.fields if f.name != key]
+    moved = rows.where("maybe_").drop("maybe_").join(table.hint("merge"), key, "left").select(*df.columns, *[f.name for f in more])
+    return rows.where("not maybe_").select(*df.columns, *[F.lit(None).cast(f.dataType).alias(f.name) for f in more]).unionByName(moved)

@@ -25,14 +25,14 @@ def _identity(text: str) -> str:
     return blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
 
 
-def objects_of(text: str | None) -> list[tuple]:
+def objects_of(text: str | None, bodies: bool = True) -> list[tuple]:
     """(node, parent, holder, ordinal, in_array, object_id, holder_id, body) of each object in a JSON text.
 
     node is the JSON Pointer, going on through strings that hold JSON; parent is the node of the nearest
     object around that is itself an element of an array ('' if none), holder that of the nearest object
     around of any kind (NULL if none) and holder_id its id. ordinal counts the objects of one holder in
     document order. body is the object with its inner objects replaced by references, {"$object": id}, and arrays or objects
-    that were written as strings wrapped as {"$json": value}.
+    that were written as strings wrapped as {"$json": value}; it is None without bodies.
     An invalid or NULL text has no objects. The walk is a loop, so depth is bounded by memory only.
     """
     if not text:
@@ -80,10 +80,12 @@ def objects_of(text: str | None) -> list[tuple]:
         if isinstance(value, dict):
             canonical = mark + "{" + ",".join(f"{J.scalar(k)}:{c}" for k, c, _ in parts) + "}"
             id_ = _identity(canonical)
-            found[holder][5], found[holder][7] = id_, "{" + ",".join(f"{J.scalar(k)}:{s}" for k, _, s in parts) + "}"
+            found[holder][5] = id_
+            if bodies:
+                found[holder][7] = "{" + ",".join(f"{J.scalar(k)}:{s}" for k, _, s in parts) + "}"
             short = '{"$object":"' + id_ + '"}'
         else:
-            short = "[" + ",".join(s for _, _, s in parts) + "]"
+            short = "[" + ",".join(s for _, _, s in parts) + "]" if bodies else ""
             canonical = mark + "#" + _identity("[" + ",".join(c for _, c, _ in parts) + "]")
         done = ("#" + id_ if isinstance(value, dict) else canonical), ('{"$json":' + short + "}" if quoted else short)
     counts: dict[int, int] = {}
@@ -94,11 +96,12 @@ def objects_of(text: str | None) -> list[tuple]:
     return out
 
 
-def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    columns: list[list] = [[] for _ in _ARROW]
+def _occurrences(batches: Iterator[pa.RecordBatch], bodies: bool) -> Iterator[pa.RecordBatch]:
+    schema = _ARROW if bodies else pa.schema(list(_ARROW)[:-1])
+    columns: list[list] = [[] for _ in schema]
 
     def flush() -> pa.RecordBatch:
-        batch = pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, _ARROW)], schema=_ARROW)
+        batch = pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, schema)], schema=schema)
         for c in columns:
             c.clear()
         return batch
@@ -106,11 +109,11 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         size = 0
         for src, row_id, text in zip(batch[0].to_pylist(), batch[1].to_pylist(), batch[2].to_pylist()):
-            for node, parent, holder, ordinal, in_array, id_, holder_id, body in objects_of(text):
-                row = (src, row_id, J.clean(node), J.clean(parent), holder and J.clean(holder), ordinal, in_array, id_, holder_id, J.clean(body))
+            for node, parent, holder, ordinal, in_array, id_, holder_id, body in objects_of(text, bodies):
+                row = (src, row_id, J.clean(node), J.clean(parent), holder and J.clean(holder), ordinal, in_array, id_, holder_id, *([J.clean(body)] if bodies else []))
                 for c, v in zip(columns, row):
                     c.append(v)
-                size += len(row[-1]) + len(node)
+                size += len(body or "") + len(node)
             if size > 4_000_000:
                 yield flush()
                 size = 0
@@ -118,14 +121,14 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield flush()
 
 
-def occurrences(documents: DataFrame, src: str = "src", row_id: str = "row_id", text: str = "text") -> DataFrame:
-    """A bridge row for each object of each document: see objects_of; the columns are OCCURRENCES.
+def occurrences(documents: DataFrame, src: str = "src", row_id: str = "row_id", text: str = "text", bodies: bool = True) -> DataFrame:
+    """A bridge row for each object of each document: see objects_of; the columns are OCCURRENCES, without the body if bodies is False.
 
     A map over the rows without a shuffle, so no key can be hot; a long document is one row of one task.
     NULL, empty and invalid texts have no rows; repeated rows are documents of their own; extra columns
     are left out before Python sees them.
     """
-    return documents.select(F.col(src).cast("string"), F.col(row_id).cast("bigint"), F.col(text).cast("string")).where(F.col(text).isNotNull()).mapInArrow(_occurrences, OCCURRENCES)
+    return documents.select(F.col(src).cast("string"), F.col(row_id).cast("bigint"), F.col(text).cast("string")).where(F.col(text).isNotNull()).mapInArrow(lambda batches: _occurrences(batches, bodies), OCCURRENCES if bodies else OCCURRENCES.removesuffix(", body string"))
 
 
 def objects(bridge: DataFrame) -> DataFrame:

@@ -16,7 +16,6 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return timestamps.normalise_times(turns, sessions).where(F.col("utc_ms").isNotNull())
 
 
-
 def _files(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "cli_session_files").select("file_id", "install_id", "rel_path", "written_at", "payload")
 
@@ -36,6 +35,21 @@ def p3_names(spark: SparkSession, folder: str) -> DataFrame:
     return drift.canonical_names(_files(spark, folder))
 
 
+def p3_versions(spark: SparkSession, folder: str) -> DataFrame:
+    """The schemas of each install in order, with their fingerprints."""
+    return drift.versions(_files(spark, folder)).withColumn("fields", F.to_json("fields"))
+
+
+def p3_steps(spark: SparkSession, folder: str) -> DataFrame:
+    """The migration steps from each version of an install's schema to the next."""
+    return drift.steps(_files(spark, folder))
+
+
+def p3_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """The rename and cast rule of each field."""
+    return drift.rules(_files(spark, folder))
+
+
 #: The columns of problem 4, by table.
 NESTED = (("parsed_content_blocks", "raw_json"), ("parsed_tool_calls", "arguments_json"), ("turn_tool_calls", "results_json"))
 
@@ -48,13 +62,13 @@ def nested_documents(spark: SparkSession, folder: str) -> DataFrame:
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     """Each object that is an element of an array, with the nearest such object around it."""
-    bridge = nesting.occurrences(nested_documents(spark, folder))
+    bridge = nesting.occurrences(nested_documents(spark, folder), bodies=False)
     return bridge.where("in_array").select("src", "row_id", "node", "parent")
 
 
 def p4_bridge(spark: SparkSession, folder: str) -> DataFrame:
     """Parent-child rows between objects, by their Merkle ids, with path and ordinal."""
-    return nesting.occurrences(nested_documents(spark, folder)).drop("body")
+    return nesting.occurrences(nested_documents(spark, folder), bodies=False)
 
 
 def p4_objects(spark: SparkSession, folder: str) -> DataFrame:
@@ -62,4 +76,4 @@ def p4_objects(spark: SparkSession, folder: str) -> DataFrame:
     return nesting.objects(nesting.occurrences(nested_documents(spark, folder)))
 
 
-QUERIES = {"p3_found": p3_found, "p3_messages": p3_messages, "p3_names": p3_names, "p4_found": p4_found, "p4_bridge": p4_bridge, "p4_objects": p4_objects, "p6_found": p6_found}
+QUERIES = {"p3_found": p3_found, "p3_messages": p3_messages, "p3_names": p3_names, "p3_versions": p3_versions, "p3_steps": p3_steps, "p3_rules": p3_rules, "p4_found": p4_found, "p4_bridge": p4_bridge, "p4_objects": p4_objects, "p6_found": p6_found}
