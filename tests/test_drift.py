@@ -3,7 +3,6 @@ from datetime import datetime, timedelta
 
 import pytest
 
-
 from turnloom.functions import jsontree as J
 from turnloom.operators import drift
 from turnloom.operators.drift import canonical_names, cast, changes, column_type, content_of, form_of, leaves, records_of, rules, steps, supports, unified, versions
