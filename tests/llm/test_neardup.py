@@ -4,7 +4,7 @@ from itertools import combinations
 
 import pytest
 
-from turnloom.llm import neardup
+from turnloom.llm import expand, neardup
 from turnloom.llm.neardup import ENTRIES, _hot_candidates, components, groups, similar_pairs
 
 TEXTS = "id long, text string, shingles string, rep int"
@@ -84,7 +84,7 @@ def test_tiles_of_very_long_texts_meet(spark):
 
 
 def test_copies_meet_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr(neardup, "COPIES", 4)
+    monkeypatch.setattr(expand, "COPIES", 4)
     a, b = (" ".join(f"w{i}" for i in range(40)), " ".join(f"w{i}" for i in range(1, 41)))
     rows = [(i, a if i % 2 else b) for i in range(30)] + [(90, "alone " + a[:60])]
     df = spark.createDataFrame([(*r, "x", 1) for r in rows], TEXTS)
@@ -92,11 +92,15 @@ def test_copies_meet_in_blocks(spark, monkeypatch):
     assert len(got) == len(set(got)) and set(got) == brute(rows, 5, 5, 0.8) and len(got) == 30 * 29 // 2
 
 
-def test_frequencies_are_counts(spark):
+def test_frequencies_are_levels_of_counts(spark):
     rows = spark.createDataFrame([(i, [1, 2 + i % 3, 1 << 40]) for i in range(50)], "id long, shingles array<long>").repartition(5)
     table = neardup.frequencies(rows, 150)
-    assert len(table) == neardup.LEAST_GROUPS and table.sum() == 150 and table[0] == 50 and table[1] == 50 and table[2] == 17
+    assert len(table) == neardup.LEAST_GROUPS and table[0] == table[1] == neardup.level(50) and table[2] == neardup.level(17) and table[5:].max() == 0
     assert len(neardup.frequencies(rows.limit(0), 0)) == neardup.LEAST_GROUPS
+    scale = neardup.level(range(100_000))
+    assert (scale[1:] >= scale[:-1]).all() and scale[0] == 0 < scale[1] and neardup.level(1 << 40) == 255
+    for counts in ([0, 255], [256], [70_000], [1 << 40]):
+        assert neardup._unpacked(neardup._packed(neardup.np.array(counts))).tolist() == counts
 
 
 def test_no_broadcast_of_texts_or_ids(spark):

@@ -27,19 +27,18 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from turnloom.llm.expand import between, blocks_of, within
 from turnloom.operators.keys import having, lacking
 from turnloom.session import cut_lineage
 
-#: Groups of the frequency table, at least and at most: a group for about four shingles, up to 32 MB of counts on the driver and with each task.
-LEAST_GROUPS, MOST_GROUPS = 1 << 16, 1 << 22
+#: Groups of the frequency table, at least and at most: a group for about four shingles, a byte each, so the table has 8 MB at most.
+LEAST_GROUPS, MOST_GROUPS = 1 << 16, 1 << 23
 #: Counts of the frequency table that are added up in one row.
 _CHUNK = 1 << 14
 #: Tables of tasks that are added up in one group at most is their number divided by this.
 _SALT = 32
 #: Texts of a cell from which it is split, and texts of a tile, about.
 HOT = 4096
-#: Copies of one class that meet in one task, at most about.
-COPIES = 1024
 #: Coordinates of the points that boxes bound; a count takes seven bits of a long.
 GROUPS = 8
 
@@ -69,35 +68,51 @@ def classes(sets: DataFrame) -> DataFrame:
     return cut_lineage(keyed.join(heads.hint("merge"), ["k1", "k2"]).select("id", "rep", "members", "n"))
 
 
+def _packed(counts: np.ndarray) -> bytes:
+    """Counts in the fewest bytes that hold the largest, compressed; the first byte says how many."""
+    size = next(n for n in (1, 2, 4, 8) if int(counts.max()) < 1 << 8 * n - (n == 8))
+    return bytes([size]) + zlib.compress(counts.astype(f"<u{size}").tobytes(), 1)
+
+
+def _unpacked(packed: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(packed[1:]), dtype=f"<u{packed[0]}").astype(np.int64)
+
+
 def _added(table: pa.Table) -> pa.Table:
-    total = np.zeros(_CHUNK, dtype="<i8")
+    total = np.zeros(_CHUNK, dtype=np.int64)
     for packed in table["counts"].to_pylist():
-        total += np.frombuffer(zlib.decompress(packed), dtype="<i8")
-    return table.slice(0, 1).set_column(table.schema.get_field_index("counts"), "counts", pa.array([zlib.compress(total.tobytes(), 1)], pa.binary()))
+        total += _unpacked(packed)
+    return table.slice(0, 1).set_column(table.schema.get_field_index("counts"), "counts", pa.array([_packed(total)], pa.binary()))
+
+
+def level(counts: np.ndarray | int) -> np.ndarray:
+    """Counts on a scale of one byte, eight steps to the double; never falls as a count grows."""
+    return np.minimum(255, np.where(np.asarray(counts) > 0, 1 + np.floor(8 * np.log2(np.maximum(counts, 1))), 0)).astype(np.uint8)
 
 
 def frequencies(sets: DataFrame, shingles: int) -> np.ndarray:
-    """How many of the corpus's shingles (shingles of them) fall into each group: a table of LEAST_GROUPS to MOST_GROUPS counts.
+    """The level of how many of the corpus's shingles (shingles of them) fall into each group: LEAST_GROUPS to MOST_GROUPS bytes.
 
     Each task counts its own texts into a table and sends it packed, so no shingle is moved.
     """
     groups = min(MOST_GROUPS, max(LEAST_GROUPS, (1 << max(shingles, 1).bit_length()) // 4))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(groups, dtype="<i8")
+        table = np.zeros(groups, dtype=np.int64)
         for batch in batches:
             np.add.at(table, batch.column(0).flatten().to_numpy() & (groups - 1), 1)
         salt = (TaskContext.get().partitionId() if TaskContext.get() else 0) % _SALT
         for i in range(groups // _CHUNK):
             part = table[i * _CHUNK : (i + 1) * _CHUNK]
             if part.any():
-                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([salt], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())], names=["chunk", "salt", "counts"])
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([salt], pa.int32()), pa.array([_packed(part)], pa.binary())], names=["chunk", "salt", "counts"])
 
     schema = "chunk int, salt int, counts binary"
     parts = sets.select("shingles").mapInArrow(count, schema).groupBy("chunk", "salt").applyInArrow(_added, schema).groupBy("chunk").applyInArrow(_added, schema)
-    table = np.zeros(groups, dtype=np.int64)
-    for row in parts.select("chunk", "counts").collect():
-        table[row.chunk * _CHUNK : (row.chunk + 1) * _CHUNK] = np.frombuffer(zlib.decompress(bytes(row.counts)), dtype="<i8")
+    levels = parts.mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([b.column(0), pa.array([level(_unpacked(c)).tobytes() for c in b.column(2).to_pylist()], pa.binary())], names=["chunk", "levels"]) for b in batches), "chunk int, levels binary")
+    table = np.zeros(groups, dtype=np.uint8)
+    for row in levels.collect():
+        table[row.chunk * _CHUNK : (row.chunk + 1) * _CHUNK] = np.frombuffer(bytes(row.levels), dtype=np.uint8)
     return table
 
 
@@ -106,7 +121,7 @@ _ENTRIES = pa.schema([("token", pa.int64()), ("id", pa.int64()), ("n", pa.int32(
 
 
 def entries_of(ids: np.ndarray, lengths: np.ndarray, tokens: np.ndarray, table: np.ndarray, threshold: float, hot: int) -> list[np.ndarray]:
-    """The columns of ENTRIES for texts given by their ids, set sizes and shingles one after another (no set is empty)."""
+    """The columns of ENTRIES for texts given by their ids, set sizes and shingles one after another (no set is empty); table: frequencies."""
     doc = np.repeat(np.arange(len(ids)), lengths)
     starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
     frequency = table[tokens & (len(table) - 1)]
@@ -122,7 +137,7 @@ def entries_of(ids: np.ndarray, lengths: np.ndarray, tokens: np.ndarray, table:
     keep = position < (lengths - np.ceil(threshold * lengths - 1e-9).astype(np.int64) + 1)[doc]
     d = doc[keep]
     picked = order[keep]
-    return [tokens[picked], ids[d], lengths[d].astype(np.int32), position[keep].astype(np.int32), p1[d], p2[d], packed[d], frequency[picked] > hot]
+    return [tokens[picked], ids[d], lengths[d].astype(np.int32), position[keep].astype(np.int32), p1[d], p2[d], packed[d], frequency[picked] >= level(hot + 1)]
 
 
 def entries(sets: DataFrame, table: np.ndarray, threshold: float, hot: int, busy: bool = False) -> DataFrame:
@@ -194,7 +209,7 @@ def candidates(sets: DataFrame, shingles: int, threshold: float, hot: int = HOT)
     """(a, b), a < b: the pairs of texts that no bound rules out, each once. shingles: how many the sets have, about."""
     table = frequencies(sets, shingles)
     rows, large = entries(sets, table, threshold, hot), None
-    if int(table.max()) > hot:
+    if table.max() >= level(hot + 1):
         # the table bounds the size of every cell, so only entries of busy groups are counted one by one
         full = cut_lineage(entries(sets, table, threshold, hot, busy=True))
         cells = cut_lineage(full.groupBy("token").agg(F.count(F.lit(1)).alias("texts")).where(F.col("texts") > hot))
@@ -222,34 +237,6 @@ def similar_classes(texts: DataFrame, size: int, least_words: int, threshold: fl
     return members, scored.where(F.col("similarity") >= threshold)
 
 
-def _blocks(members: Column) -> Column:
-    """Into how many blocks the copies of a class are split."""
-    return F.ceil(members / F.lit(COPIES)).cast("int")
-
-
-def _block(members: Column) -> Column:
-    return F.pmod(F.xxhash64("id"), _blocks(members)).cast("int")
-
-
-def _expanded(met: DataFrame, members: DataFrame) -> DataFrame:
-    """(id_a, id_b) of all copies of the classes that meet. Large classes meet block by block, so none is one task's work."""
-    blocks = members.where("id = rep").select("rep", _blocks(F.col("members")).alias("blocks"))
-    copies = members.select("rep", "id", _block(F.col("members")).alias("block"))
-    for side, name in (("a", "x"), ("b", "y")):
-        of = blocks.select(F.col("rep").alias(side), "blocks")
-        met = met.join(of, side).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
-        met = met.join(copies.select(F.col("rep").alias(side), "block", F.col("id").alias(name)), [side, "block"]).drop("block")
-    return met.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
-
-
-def _copies(members: DataFrame) -> DataFrame:
-    """(id_a, id_b) of every two copies of one class, by pairs of blocks."""
-    same = members.where("members > 1").select("rep", "id", _block(F.col("members")).alias("block"), _blocks(F.col("members")).alias("blocks"))
-    left = same.select("rep", F.col("id").alias("x"), F.col("block").alias("i"), F.explode(F.sequence(F.col("block"), F.col("blocks") - 1)).alias("j"))
-    right = same.select("rep", F.col("id").alias("y"), F.col("block").alias("j"), F.explode(F.sequence(F.lit(0), F.col("block"))).alias("i"))
-    return left.join(right, ["rep", "i", "j"]).where("(i = j and x < y) or i < j").select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
-
-
 def _prepared(texts: DataFrame, key: str, text: str) -> DataFrame:
     return texts.select(F.col(key).alias("id"), F.col(text).alias("text")).where("text is not null")
 
@@ -262,7 +249,10 @@ def similar_pairs(texts: DataFrame, key: str = "id", text: str = "text", size: i
     """
     rows = _prepared(texts, key, text)
     members, met = similar_classes(rows, size, least_words, threshold, hot)
-    return _expanded(met.select("a", "b"), members).unionByName(_copies(members))
+    heads = members.where("id = rep")
+    sized = met.select("a", "b").join(blocks_of(heads, "a", "blocks_a"), "a").join(blocks_of(heads, "b", "blocks_b"), "b")
+    both = between(sized, members).select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
+    return both.unionByName(within(members).toDF("id_a", "id_b"))
 
 
 def components(edges: DataFrame) -> DataFrame:
