@@ -4,7 +4,7 @@ import unicodedata
 import pytest
 from pyspark.sql import functions as F
 
-from turnloom.llm import lookalikes, mixture, tokens
+from turnloom.llm import expand, lookalikes, mixture, tokens
 
 DOCS = "doc_id long, text string, source string, form string, class_id int"
 
@@ -126,3 +126,33 @@ def test_mix_of_nothing(spark):
     picks, report = mixture.mix(d, t)
     assert picks.count() == 0 and {r.source for r in report.collect()} == {"a", "b"}
     assert mixture.mix(d, t.limit(0))[1].count() == 0
+
+
+def test_skeletons_of_equal_looks_are_equal(spark):
+    """Composed, decomposed and reordered forms of a text have one skeleton; texts that differ in plain letters have not."""
+    r = random.Random(4)
+    rows = []
+    for i in range(400):
+        t = "".join(r.choice(["a", "e", "K", ";", "`", "1", " ", "é", "ạ́", "が", "漢", "豈", "한", "ё", "ώ", "≮", "́", "̣", "ﬁ", "K", ";", "`", "ẛ̣"]) for _ in range(r.randint(1, 12)))
+        rows += [(i, unicodedata.normalize("NFC", t)), (i, unicodedata.normalize("NFD", t)), (i, t)]
+    got = spark.createDataFrame(rows, "i int, t string").select("i", lookalikes.skeleton(lookalikes.mapped(F.col("t"))).alias("s")).groupBy("i").agg(F.count_distinct("s").alias("n")).where("n > 1")
+    assert got.count() == 0
+    plain = docs(spark, "alpha", "alphb", "漢字", "漢学").select(lookalikes.skeleton(F.col("text")).alias("s")).distinct()
+    assert plain.count() == 4
+
+
+def test_collation_groups_and_the_exact_form_splits(spark):
+    """Texts that the collation takes for one although they look different are split; those it takes for one and that are one stay whole."""
+    df = docs(spark, "room 1 x", "room ١ x", "rооm 1 x", "room ١ x", "lone")
+    members = lookalikes.members_of(df, lookalikes.digests(df))
+    members.createOrReplaceTempView("m_")
+    looks = spark.sql("select count(*) as n, count(distinct exact) as e from m_ group by collate(form, 'UNICODE')").collect()
+    assert {(r.n, r.e) for r in looks} == {(4, 2)} or {(r.n, r.e) for r in looks} == {(2, 1)}
+    assert {tuple(x) for x in lookalikes.pairs(df).collect()} == {(0, 2), (1, 3)}
+
+
+def test_often_copied_variants_meet_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(expand, "COPIES", 3)
+    texts = ["some text", "sоme text", "some text"] * 8 + ["other"]
+    got = [tuple(r) for r in lookalikes.pairs(docs(spark, *texts)).collect()]
+    assert len(got) == len(set(got)) and set(got) == {(a, b) for a in range(24) for b in range(a + 1, 24) if texts[a] != texts[b]}

@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from turnloom.llm.conversations import is_blank
+from turnloom.llm.expand import between, blocks_of, within
+from turnloom.operators.keys import having, looked_up
 from turnloom.session import cut_lineage
 
 #: Letters of other scripts beside the Latin ones they look like, pair by pair.
@@ -89,17 +91,22 @@ def _id(text: Column) -> Column:
     return F.md5(text)
 
 
+@lru_cache(maxsize=1)
+def _single() -> tuple[str, str]:
+    """Characters that canonical composition turns into one other, which composes no further: ASCII and ideographs."""
+    pairs = [(c, n) for c in map(chr, range(0x80, sys.maxunicode + 1)) if len(n := unicodedata.normalize("NFC", c)) == 1 and n != c and (n.isascii() or "\u4e00" <= n <= "\u9fff")]
+    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+
+
 def skeleton(text: Column) -> Column:
-    """A hash of the digits and some marks of mapped text, which no composition changes.
+    """A hash of what no composition changes in mapped text: ASCII that bears no mark, and ideographs.
 
     Texts that look the same have the same skeleton; only texts that share one with a different text go on
     to the collation, so the others are never shuffled.
     """
-    return F.xxhash64(F.regexp_replace(text, r"[^0-9_`\n]+", ""))
-
-
-#: Documents that are looked up by a broadcast list of ids, at most; more are looked up by a shuffled one.
-BROADCAST_IDS = 1_000_000
+    before, after = _single()
+    bare = F.regexp_replace(F.translate(text, before, after), r"[\x00-\x7F]?\p{M}+|[^\x00-\x7F\u4E00-\u9FFF]+", "")
+    return F.xxhash64(F.when(text.rlike(r"[^\x00-\x7F]"), bare).otherwise(text))
 
 
 def digests(documents: DataFrame) -> DataFrame:
@@ -108,48 +115,56 @@ def digests(documents: DataFrame) -> DataFrame:
     return cut_lineage(rows.select("doc_id", _id(F.col("text")).alias("raw"), skeleton(mapped(F.col("text"))).alias("skeleton")))
 
 
-def variants(documents: DataFrame, known: DataFrame) -> DataFrame:
-    """(raw, class_id, text): the distinct texts that look like another distinct text, with their class. known: digests(documents).
+def members_of(documents: DataFrame, known: DataFrame) -> DataFrame:
+    """(raw, text, exact, form) of the distinct texts that may look like another distinct text; known: digests(documents).
 
-    Texts are taken together under accent-sensitive Unicode collation in SQL; the exact composed form then
-    parts those that the collation holds equal though they look different (digits of other scripts).
-    Blank texts have no class. One document of each text that may have a partner is read again.
+    exact is a digest of the composed form, form what is collated. One document of each text is read again.
     """
     texts = known.groupBy("skeleton", "raw").agg(F.min("doc_id").alias("doc_id"))
     several = texts.groupBy("skeleton").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("skeleton")
     asked = cut_lineage(texts.join(several, "skeleton").select("doc_id"))
-    few = asked.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    near = documents.select("doc_id", "text").join(F.broadcast(asked) if few else asked, "doc_id", "left_semi").where("text is not null")
+    near = having(documents.select("doc_id", "text"), asked, "doc_id").where("text is not null")
     distinct = near.select(_id(F.col("text")).alias("raw"), "text", mapped(F.col("text")).alias("form")).dropDuplicates(["raw"])
     # marks in another order are canonically equal, but the collator compares them as they stand
     ordered = F.coalesce(composed(F.when(F.col("form").rlike(r"\p{M}{2}"), F.col("form"))), "form")
+    return cut_lineage(distinct.select("raw", "text", _id(composed(F.col("form"))).alias("exact"), ordered.alias("form")))
+
+
+def variants(documents: DataFrame, known: DataFrame) -> DataFrame:
+    """(raw, class_id, text): the distinct texts that look like another distinct text, with their class. known: digests(documents).
+
+    Texts are grouped by their mapped form under accent-sensitive Unicode collation in SQL, and each is joined
+    with its group. A group whose texts are all one in their exact composed form is a class; one in which the
+    collation took texts for equal that look different (digits of other scripts, punctuation that it compares
+    alike) is split by the exact form. Blank texts have no class.
+    """
     view = "turnloom_lookalikes"
-    members = cut_lineage(distinct.select("raw", "text", composed(F.col("form")).alias("exact"), ordered.alias("form")))
-    members.select("exact", "form").createOrReplaceTempView(view)
-    # equal exact forms are equal under the collation, so a digest of it names the class and joins it back
-    classes = documents.sparkSession.sql(
-        f"""SELECT md5(exact) AS class_id, count(*) AS texts FROM {view}
-            GROUP BY collate(form, 'UNICODE'), exact HAVING count(*) > 1"""
-    ).select("class_id").distinct()
-    return members.select("raw", F.md5("exact").alias("class_id"), "text").join(classes, "class_id").select("raw", "class_id", "text")
+    members_of(documents, known).createOrReplaceTempView(view)
+    found = documents.sparkSession.sql(
+        f"""WITH looks AS (SELECT collate(form, 'UNICODE') AS look, min(exact) AS least, max(exact) AS most FROM {view} GROUP BY collate(form, 'UNICODE') HAVING count(*) > 1),
+                 joined AS (SELECT m.raw, m.text, m.exact, l.least = l.most AS whole FROM {view} m JOIN looks l ON collate(m.form, 'UNICODE') = l.look),
+                 split AS (SELECT exact FROM joined WHERE NOT whole GROUP BY exact HAVING count(*) > 1)
+            SELECT raw, exact AS class_id, text FROM joined WHERE whole
+            UNION ALL SELECT j.raw, j.exact, j.text FROM joined j LEFT SEMI JOIN split s ON j.exact = s.exact WHERE NOT j.whole"""
+    )
+    return found
 
 
 def pairs(documents: DataFrame) -> DataFrame:
     """(doc_a, doc_b), doc_a < doc_b: every two documents whose texts look the same but aren't equal.
 
     Texts are paired first and expanded to their copies afterwards, so copies of one text never meet. Documents
-    without a doc_id take no part.
+    without a doc_id take no part. Large classes and often copied texts meet block by block.
     """
     all_ = digests(documents)
     known = cut_lineage(variants(documents, all_).select("raw", "class_id"))
-    members = all_.select("doc_id", "raw").join(known.select("raw"), "raw", "left_semi")
-    a = known.select(F.col("raw").alias("raw_a"), "class_id")
-    b = known.select(F.col("raw").alias("raw_b"), "class_id")
-    two = a.join(b, "class_id").where("raw_a < raw_b").select("raw_a", "raw_b")
-    left = members.select(F.col("raw").alias("raw_a"), F.col("doc_id").alias("x"))
-    right = members.select(F.col("raw").alias("raw_b"), F.col("doc_id").alias("y"))
-    met = two.join(left, "raw_a").join(right, "raw_b").where("x != y")
-    return met.select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"))
+    sizes = known.groupBy("class_id").agg(F.count(F.lit(1)).alias("members"))
+    two = within(known.join(sizes.hint("merge"), "class_id").select(F.col("class_id").alias("rep"), F.col("raw").alias("id"), "members")).toDF("a", "b")
+    copies = having(all_.select("doc_id", "raw"), known, "raw")
+    heads = cut_lineage(copies.groupBy(F.col("raw").alias("rep")).agg(F.count(F.lit(1)).alias("members")))
+    sized = two.join(blocks_of(heads, "a", "blocks_a"), "a").join(blocks_of(heads, "b", "blocks_b"), "b")
+    members = copies.join(heads, F.col("raw") == F.col("rep")).select("rep", F.col("doc_id").alias("id"), "members")
+    return between(sized, members).where("x != y").select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"))
 
 
 def canonical(documents: DataFrame) -> DataFrame:
@@ -162,4 +177,4 @@ def canonical(documents: DataFrame) -> DataFrame:
     chosen = known.groupBy("class_id").agg(F.min(F.struct(F.octet_length("text").alias("size"), F.col("text"))).alias("best")).select("class_id", F.col("best.text").alias("canonical"))
     of = known.select("raw", "class_id").join(chosen, "class_id")
     rows = documents.select("doc_id", "text", F.when(F.col("text").isNotNull(), _id(F.col("text"))).alias("raw"))
-    return rows.join(of, "raw", "left").select("doc_id", F.coalesce("canonical", "text").alias("text"), "class_id")
+    return looked_up(rows, of, "raw").select("doc_id", F.coalesce("canonical", "text").alias("text"), "class_id")
