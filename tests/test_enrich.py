@@ -23,29 +23,47 @@ def test_defaulted_models(spark):
 
 
 def test_matched_results(spark):
-    calls = spark.createDataFrame([(1, 0, "x"), (1, 1, None), (1, 2, "z"), (2, 0, "q")], "event int, call_index int, call_id string")
-    results = spark.createDataFrame([(1, 0, None, None, True), (1, 1, "x", "success", False), (1, 2, None, "unknown", None)], "event int, result_index int, call_id string, status string, is_error boolean")
-    got = {(r.event, r.call_index): (r.result_index, r.status) for r in E.matched_results(calls, results).collect()}
-    assert got == {(1, 0): (1, "success"), (1, 1): (0, "error"), (1, 2): (2, "success"), (2, 0): (None, "unknown")}
+    calls = spark.createDataFrame([(1, 0, "x"), (1, 1, None), (1, 2, "z"), (2, 0, "q"), (3, 5, ""), (3, 7, "k")], "event int, call_index int, call_id string")
+    results = spark.createDataFrame([(1, 0, None, None, True), (1, 1, "x", "success", False), (1, 2, "", "unknown", None), (1, 3, "x", "late", None), (3, 0, None, None, None), (3, 1, None, "done", True), (3, 2, "gone", None, None)], "event int, result_index int, call_id string, status string, is_error boolean")
+    got = {(r.event, r.call_index): (r.results, r.first_result, r.status) for r in E.matched_results(calls, results).collect()}
+    assert got == {(1, 0): (2, 1, "success"), (1, 1): (1, 2, "success"), (1, 2): (0, None, "unknown"), (2, 0): (0, None, "unknown"), (3, 5): (1, 0, "success"), (3, 7): (1, 1, "done")}
+    assert E.matched_results(calls.limit(0), results).count() == 0
 
 
 def test_inferred_parents(spark):
-    children = spark.createDataFrame([("c1", "s", 5), ("c2", "s", 500_000_000), ("c3", "s", 1), ("c4", "none", 1)], "child string, parent_session string, started long")
-    calls = spark.createDataFrame([("s", 1, 2), ("s", 2, 5), ("s", 9, 400_000_000)], "session string, turn int, at long")
-    assert dict(E.inferred_parents(children, calls).collect()) == {"c1": 2, "c2": 9, "c3": 9, "c4": None}
+    children = spark.createDataFrame([("c1", "s", 5), ("c2", "s", 500_000_000), ("c3", "s", 1), ("c4", "none", 1), ("c5", "s", None)], "child string, parent_session string, started long")
+    turns = spark.createDataFrame([("s", 1, 2), ("s", 2, 5), ("s", 9, 400_000_000), ("s", 11, None)], "session string, turn int, at long")
+    assert {r.child: r.parent_turn for r in E.inferred_parents(children, turns).collect()} == {"c1": 2, "c2": 9, "c3": 9, "c5": 9}
+
+
+def test_subagent_rows(spark):
+    children = spark.createDataFrame([("a", "s", 9, None), ("b", "s", 3, "fork"), ("c", "s", 4, ""), ("d", "s", 1, "x"), ("e", None, 1, "x")], "child string, parent_session string, started long, relationship_type string")
+    turns = spark.createDataFrame([("s", 1, 2), ("s", 5, 8)], "session string, turn int, at long")
+    calls = spark.createDataFrame([("s", 1, 0, "k0", "Task", "a"), ("s", 5, 0, "k1", "Task", "a"), ("s", 1, 1, "k2", "Task", None)], "session string, turn int, call_index int, call_id string, name string, spawned string")
+    links = spark.createDataFrame([("s", 1, 0, "a", "l0", "T"), ("s", 5, 1, "d", "l1", "T")], "session string, turn int, link_index int, target string, call_id string, name string")
+    got = {r.child: tuple(r)[1:] for r in E.subagent_rows(children, turns, calls, links).select("child", "turn", "source_call_id", "relationship_type", "subagent_index").collect()}
+    assert got == {"a": (5, "k1", "subagent", 1), "d": (5, "l1", "subagent", 0), "b": (1, "", "fork", 0), "c": (1, "", "subagent", 1)}
 
 
 def test_forks(spark):
+    whole = lambda nodes: [("", list(range(len(nodes))))]
     line = [("a", None, "user", 0), ("b", "a", "assistant", 1), ("c", "b", "user", 2)]
-    assert set(E.branches_of(line).values()) == {0}
+    assert E.branches_of(line) == whole(line) and E.branches_of([]) == []
     retry = [*line, ("c2", "b", "user", 3), ("d2", "c2", "assistant", 4)]
-    assert E.branches_of(retry) == {"a": 0, "b": 0, "c": -1, "c2": 0, "d2": 0}
-    long = [("r", None, "user", 0)] + [(f"x{i}", f"x{i - 1}" if i else "r", "user", i + 1) for i in range(5)] + [("y", "r", "user", 50)]
-    assert E.branches_of(long) == {"r": 0, "y": 0, **{f"x{i}": 1 for i in range(5)}}
-    assert set(E.branches_of([("a", "gone", "user", 0)]).values()) == {0}
-    assert set(E.branches_of([("a", None, "user", 0), ("b", "c", "user", 1), ("c", "b", "user", 2)]).values()) == {0}
-    df = spark.createDataFrame([("s", *n) for n in long], "session_id string, message_id string, parent_id string, event_type string, event_index int")
-    assert {r.message_id: r.branch for r in E.split_forks(df).collect()} == E.branches_of(long)
+    assert E.branches_of(retry) == [("", [0, 1, 3, 4])]
+    long = [("r", None, "user", 0), ("s", "r", "user", 40), ("y", "r", "user", 50)] + [(f"x{i}", f"x{i - 1}" if i else "r", "user", i + 1) for i in range(5)]
+    assert E.branches_of(long) == [("", [0, 3, 4, 5, 6, 7]), ("s", [0, 1]), ("y", [0, 2])]
+    inner = [*long, *[(f"z{i}", f"z{i - 1}" if i else "y", "user", 60 + i) for i in range(4)], ("w", "y", "assistant", 99)]
+    assert [b for b, _ in E.branches_of(inner)] == ["", "s", "y", "y"] and E.branches_of(inner)[3][1] == [0, 2, 12]
+    for broken in ([("a", "gone", "user", 0)], [("a", None, "user", 0), ("b", None, "user", 1)], [("a", None, "user", 0), ("a", None, "user", 1)], [(None, None, "user", 0), ("b", None, "user", 1)]):
+        assert E.branches_of(broken) == whole(broken)
+    beside = [("a", None, "user", 0), ("b", "c", "user", 1), ("c", "b", "user", 2)]
+    assert E.branches_of(beside) == [("", [0])]  # a cycle beside the root is reached by nothing
+    deep = [(str(i), str(i - 1) if i else None, "user", i) for i in range(20_000)]
+    assert E.branches_of(deep) == whole(deep)
+    df = spark.createDataFrame([("s", *n) for n in long] + [(None, "q", None, "user", 0)], "session_id string, message_id string, parent_id string, event_type string, event_index int")
+    got = sorted((r.branch, r.branch_id, r.position, r.message_id) for r in E.split_forks(df).collect())
+    assert [g[3] for g in got] == ["r", "x0", "x1", "x2", "x3", "x4", "r", "s", "r", "y"] and {g[:2] for g in got} == {(0, ""), (1, "s"), (2, "y")}
 
 
 def test_shrink(spark):

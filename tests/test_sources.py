@@ -40,17 +40,48 @@ def test_rollout_and_command_line(spark, tmp_path):
 
 
 def test_delta_log(spark, tmp_path):
-    path = write(tmp_path / "d.jsonl", [
-        {"kind": 0, "v": {"requests": []}}, {"kind": 2, "k": ["requests"], "v": [{"requestId": "r", "timestamp": 5, "message": {"text": "q"}, "response": []}]}, "broken",
-        {"kind": 2, "k": ["requests", 0, "response"], "v": [{"kind": "thinking", "value": "t"}, {"value": "one"}]}, {"kind": 2, "k": ["requests", 0, "response"], "v": [{"value": "two"}]}, {"kind": 1, "k": ["requests", 0, "modelId"], "v": "m"}, {"kind": 9},
+    path = write(tmp_path / "log.jsonl", [
+        {"kind": 0, "v": {"title": "t", "requests": []}}, "not json",
+        {"kind": 2, "k": ["requests"], "v": [{"requestId": "first", "timestamp": 1700, "message": {"text": "why?"}, "response": []}]},
+        {"kind": 2, "k": ["requests", 0, "response"], "v": [{"kind": "thinking", "value": "hm"}, {"value": "be"}]}, {"kind": 7, "k": ["title"], "v": "no"},
+        {"kind": 2, "k": ["requests", 0, "response"], "v": [{"value": "cause"}]}, {"kind": 1, "k": ["requests", 0, "modelId"], "v": "larch"},
     ])
     turns = L.chat_turns(L.delta_documents(L.lines(spark, path))).orderBy("turn").collect()
-    assert [(t.turn, t.role, t.text, t.model_id, t.timestamp_ms) for t in turns] == [(0, "user", "q", "m", 5), (1, "assistant", "onetwo", "m", 5)]
-    assert L.replayed([{"kind": 1, "k": ["a", 2], "v": 1}]) == {"a": [None, None, 1]}
-    assert L.replayed([]) is None and L.replayed([{"kind": 0, "v": 3}, {"kind": 1, "k": ["x"], "v": 1}]) == 3
+    assert [(t.turn, t.role, t.text, t.model_id, t.timestamp_ms) for t in turns] == [(0, "user", "why?", "larch", 1700), (1, "assistant", "because", "larch", 1700)]
     assert L.folded_files(iter(["a.json", "a.jsonl", "b.json"])) == ["a.jsonl", "b.json"]
 
 
+def test_replay():
+    start = {"kind": 0, "v": {"requests": [], "n": 1}}
+    say = lambda *more: L.replayed([start, *more])
+    assert L.replayed([]) == L.replayed([{"kind": 0, "v": 3}]) == {"requests": []}
+    assert L.replayed([{"kind": 1, "k": ["n"], "v": 2}, {"kind": 1, "k": ["m"], "v": 3}]) == {"m": 3, "requests": []}  # the first entry is only a start
+    assert say({"kind": 1, "k": ["requests", 2, "a"], "v": 5}) == {"requests": [{}, {}, {"a": 5}], "n": 1}
+    assert say({"kind": 2, "k": ["requests", 1], "v": [4]}) == {"requests": [[], [4]], "n": 1}
+    assert say({"kind": 1, "k": ["requests", "0"], "v": 5}) == say({"kind": 2, "k": ["requests"], "v": 5}) == say({"kind": 2, "k": ["n"], "v": [5]}) == say({"kind": 1, "k": [], "v": 5}) == say(start) == start["v"]
+    assert say({"kind": 2, "k": ["x", "y"], "v": [1]}, {"kind": 1, "k": ["x", "0"], "v": 2}) == {"requests": [], "n": 1, "x": {"y": [1], "0": 2}}
+
+
+def test_details_of_message_logs(spark, tmp_path):
+    path = write(tmp_path / "m.jsonl", [
+        {"type": "user", "cwd": "", "attachments": ["C:\\a.txt", {"file_path": "b.md", "name": "B", "mime_type": "text/markdown"}], "message": {"attachment_refs": [{"path": "/c"}]}}, {"type": "assistant", "cwd": "/w", "version": "2", "entrypoint": "sdk-cli"},
+        {"type": "queue-operation", "operation": "enqueue", "toolUseId": "t1", "content": "<x> agent-77 </x>"}, {"type": "queue-operation", "operation": "enqueue", "tool_use_id": "t2", "task_id": "9"}, {"type": "progress", "data": {"type": "agent_progress", "agentId": "agent-5", "parentToolUseID": "t2"}},
+        {"type": "progress", "parentToolUseID": "t3", "data": {"type": "other", "agentId": "1"}}, {"type": "queue-operation", "operation": "dequeue", "toolUseId": "t4", "task_id": "1"}, {"type": "user", "cwd": "/later"},
+    ])
+    rows = L.lines(spark, path)
+    assert sorted(tuple(r)[1:] for r in L.attachments(rows).collect()) == [(0, 0, "attachments", "c:/a.txt", "", ""), (0, 1, "attachments", "b.md", "B", "text/markdown"), (0, 2, "attachment_refs", "/c", "", "")]
+    assert {r.tool_use_id: r.agent for r in L.subagents(rows).collect()} == {"t1": "agent-77", "t2": "agent-5"}
+    assert [tuple(r)[1:] for r in L.session_metadata(rows).collect()] == [("/w", "2", "sdk-cli", True)]
+    index = L.lines(spark, write(tmp_path / "i.jsonl", [{"id": "a", "thread_name": "one"}, {"id": "a", "thread_name": "two"}, {"id": "b", "thread_name": ""}, {"id": "", "thread_name": "x"}]))
+    assert dict(L.thread_names(index).collect()) == {"a": "two"}
+
+
+def test_attached_edits(spark):
+    events = spark.createDataFrame([("s", 0, "user", "r"), ("s", 1, "assistant", "r"), ("s", 2, "assistant", "r"), ("s", 3, "assistant", "q")], "session string, event_index int, role string, request_id string")
+    edits = spark.createDataFrame([("s", "r", ["e1"]), ("t", "q", ["e2"])], "session string, request_id string, edits array<string>")
+    assert {r.event_index: r.edits for r in L.attached_edits(events, edits).collect()} == {0: None, 1: ["e1"], 2: None, 3: None}
+
+
 def test_edit_baselines(spark):
     base = spark.createDataFrame([("f", "r1", 1, "h1"), ("f", "r2", 2, "h2"), ("f", "r3", 3, "h2"), ("g", "r1", 1, "h9")], "resource string, request_id string, epoch int, hash string")
     final = spark.createDataFrame([("f", "h4")], "resource string, hash string")

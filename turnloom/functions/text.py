@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import sys
+import unicodedata
+from functools import lru_cache, reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -26,6 +28,10 @@ TOOL_PARTS = (
 )
 
 
+#: White space of any kind, as a class of characters.
+SPACE = r"[\s\p{Z}\x0B\x1C-\x1F\x{85}]"
+
+
 def tokens(text: Column) -> Column:
     """An estimate of a text's tokens: four characters each, at least one; 0 for NULL and ''."""
     n = F.length(F.coalesce(text, F.lit("")))
@@ -51,7 +57,7 @@ def model_name(model: Column) -> Column:
 def path(p: Column) -> Column:
     """A path with forward slashes and a lower-case drive, without the slash before a drive."""
     s = F.regexp_replace(F.replace(p, F.lit("\\"), F.lit("/")), "^/([A-Za-z]:)", "$1")
-    return F.when(s.rlike("^[A-Za-z]:"), F.concat(F.lower(F.substring(s, 1, 1)), F.substring(s, 2, 1_000_000))).otherwise(s)
+    return F.when(s.rlike("^[A-Za-z]:"), F.concat(F.lower(F.substring(s, 1, 1)), F.call_function("substring", s, F.lit(2)))).otherwise(s)
 
 
 def language(p: Column) -> Column:
@@ -83,8 +89,52 @@ def diff_lines(text: Column, sign: str) -> Column:
 
 
 def digest(text: Column) -> Column:
-    """sha256 of the trimmed text: tells whether a text has changed since it was embedded."""
-    return F.sha2(F.trim(text), 256)
+    """sha256 of the text without white space at its ends: tells whether a text has changed since it was embedded."""
+    return F.sha2(trimmed(text), 256)
+
+
+def trimmed(text: Column) -> Column:
+    """text without white space of any kind at its ends."""
+    return F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")
+
+
+@lru_cache(maxsize=1)
+def _marked() -> tuple[str, str]:
+    """Characters that hold a mark, and what they are without it."""
+    pairs = []
+    for code in range(0x80, sys.maxunicode + 1):
+        c = chr(code)
+        parts = unicodedata.normalize("NFD", c)
+        bare = unicodedata.normalize("NFC", "".join(p for p in parts if not unicodedata.category(p).startswith("M")))
+        if len(bare) == 1 and bare != c:
+            pairs.append((c, bare))
+    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+
+
+def folded(text: Column) -> Column:
+    """text in lower case and without accents and other marks, as words are compared."""
+    before, after = _marked()
+    low = F.lower(text)
+    return F.when(low.rlike(r"[^\x00-\x7F]"), F.regexp_replace(F.translate(low, before, after), r"\p{M}+", "")).otherwise(low)
+
+
+def words(text: Column) -> Column:
+    """The words of a text in order: runs of letters and digits of any script, folded."""
+    return F.array_remove(F.split(folded(text), r"[^\p{L}\p{N}]+"), "")
+
+
+def words_of(text: str) -> tuple[str, ...]:
+    """words() of a single text."""
+    parts = unicodedata.normalize("NFD", text.lower())
+    bare = unicodedata.normalize("NFC", "".join(c for c in parts if not unicodedata.category(c).startswith("M")))
+    return tuple("".join(c if unicodedata.category(c)[0] in "LN" else " " for c in bare).split())
+
+
+def iso_of(ms: Column) -> Column:
+    """An instant in milliseconds as ISO 8601 in UTC, the fraction only where there is one; '' for NULL."""
+    whole = F.date_format(F.timestamp_seconds(F.floor(ms / 1000)), "yyyy-MM-dd'T'HH:mm:ss")
+    rest = F.pmod(ms, F.lit(1000))
+    return F.when(ms.isNull(), "").otherwise(F.concat(whole, F.when(rest != 0, F.concat(F.lit("."), F.lpad(rest.cast("string"), 3, "0"), F.lit("000"))).otherwise(""), F.lit("+00:00")))
 
 
 def uri_path(uri: Column) -> Column:

@@ -41,8 +41,26 @@ def response_cap(turns: DataFrame) -> DataFrame:
     """(median_ms, cap_ms), one row: the median response of assistant turns and the cap made from it."""
     times = turns.where("role = 'assistant' and response_time_ms > 0")
     median = F.coalesce(F.floor(F.median("response_time_ms")).cast("bigint"), F.lit(0).cast("bigint"))
-    cap = F.when(F.col("median_ms") > 0, F.greatest(F.lit(CAP_FLOOR_MS), F.least(F.lit(CAP_CEILING_MS), F.col("median_ms") * 10))).otherwise(CAP_DEFAULT_MS).cast("bigint")
-    return times.agg(median.alias("median_ms")).select("median_ms", cap.alias("cap_ms"))
+    return times.agg(median.alias("median_ms")).select("median_ms", _cap(F.col("median_ms")).alias("cap_ms"))
+
+
+def _cap(median: Column) -> Column:
+    return F.when(median > 0, F.greatest(F.lit(CAP_FLOOR_MS), F.least(F.lit(CAP_CEILING_MS), median * 10))).otherwise(CAP_DEFAULT_MS).cast("bigint")
+
+
+def response_caps(turns: DataFrame, key: str) -> DataFrame:
+    """(key, median_ms, cap_ms): response_cap of each key's own turns; keys without a response have no row."""
+    times = turns.where("role = 'assistant' and response_time_ms > 0").groupBy(key).agg(F.coalesce(F.floor(F.median("response_time_ms")).cast("bigint"), F.lit(0).cast("bigint")).alias("median_ms"))
+    return times.withColumn("cap_ms", _cap(F.col("median_ms")))
+
+
+def agentic_time_within(turns: DataFrame, key: str) -> DataFrame:
+    """(key, turns, total_ms): agentic_pairs within each key, with the cap of its own turns (the default for keys without responses)."""
+    a = turns.where(f"role = 'assistant' and {IN_MS}").select(key, "session_id", F.col("responding_to_turn").alias("turn"), F.col("timestamp_ms").alias("ms"))
+    u = turns.where(f"role = 'user' and {IN_MS}").select(key, "session_id", "turn", F.col("timestamp_ms").alias("user_ms"))
+    gap = F.col("ms") - F.col("user_ms")
+    met = a.join(u, [key, "session_id", "turn"]).join(response_caps(turns, key).select(key, "cap_ms"), key, "left")
+    return met.groupBy(key).agg(F.count(F.lit(1)).alias("turns"), whole_sum(F.when((gap > 0) & (gap <= F.coalesce("cap_ms", F.lit(CAP_DEFAULT_MS))), gap).otherwise(MINUTE_MS)).alias("total_ms"))
 
 
 def agentic_pairs(turns: DataFrame) -> DataFrame:

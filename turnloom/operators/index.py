@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turnloom.functions.text import digest
+from turnloom.functions.text import digest, trimmed, words
 from turnloom.functions.vectors import encoded
 
 
 def postings(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(term, key, tf): how often each word (a-z and 0-9 in lower case) occurs in each text."""
-    words = documents.where(F.col(text).isNotNull()).select(F.col(key).alias("key_"), F.explode(F.array_remove(F.split(F.lower(text), "[^a-z0-9]+"), "")).alias("term"))
-    return words.groupBy("term", "key_").agg(F.count(F.lit(1)).alias("tf")).select("term", F.col("key_").alias(key), "tf")
+    """(term, key, tf): how often each word (functions.text.words) occurs in each text."""
+    found = documents.where(F.col(text).isNotNull()).select(F.col(key).alias("key_"), F.explode(words(F.col(text))).alias("term"))
+    return found.groupBy("term", "key_").agg(F.count(F.lit(1)).alias("tf")).select("term", F.col("key_").alias(key), "tf")
 
 
 def stale(documents: DataFrame, stored: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -20,7 +20,7 @@ def stale(documents: DataFrame, stored: DataFrame, key: str = "doc_id", text: st
 
     stored: (key, text_hash). Documents whose trimmed text is '' or NULL are never stale.
     """
-    now = documents.where(F.trim(text) != "").select(key, F.col(text).alias("text"), digest(F.col(text)).alias("text_hash"))
+    now = documents.where(trimmed(F.col(text)) != "").select(key, F.col(text).alias("text"), digest(F.col(text)).alias("text_hash"))
     return now.join(stored.select(F.col(key).alias("k_"), F.col("text_hash").alias("h_")), F.col(key) == F.col("k_"), "left").where("h_ is null or h_ != text_hash").select(key, "text", "text_hash")
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -10,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from turnloom.functions.text import words as words_in
+from turnloom.functions.text import words_of
 from turnloom.session import cut_lineage
 
 K1, B = 1.2, 0.75
@@ -32,10 +35,6 @@ class Unit:
         return F.regexp_count(F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" ")), F.lit("(?<= )" + " ".join(self.words) + "(?= )"))
 
 
-def _words(text: str) -> tuple[str, ...]:
-    return tuple(re.findall("[a-z0-9]+", text.lower()))
-
-
 def parsed(text: str) -> tuple[object, list[Unit]]:
     """(expression, units looked for) of a query: words in a row are ANDed, AND, OR, NOT, parentheses, "phrases" and prefix*.
 
@@ -61,7 +60,7 @@ def parsed(text: str) -> tuple[object, list[Unit]]:
                 raise ValueError("a parenthesis is open")
             at += 1
             return inside
-        unit = Unit(_words(t), t.endswith("*") and not t.startswith('"'))
+        unit = Unit(words_of(t), t.endswith("*") and not t.startswith('"'))
         if not unit.words or unit.prefix and len(unit.words) > 1:
             raise ValueError("not a term")
         if sought:
@@ -99,7 +98,7 @@ def parsed(text: str) -> tuple[object, list[Unit]]:
             raise ValueError("more after the end")
         return tree, list(dict.fromkeys(found))
     except ValueError:
-        words = _words(text)
+        words = words_of(text)
         return (Unit(words), [Unit(words)]) if words else (None, [])
 
 
@@ -114,15 +113,15 @@ def _holds(tree: object, words: Column) -> Column:
 def bm25(documents: DataFrame, query: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, score) of the documents that a query holds for, scored by BM25 over what it looks for (higher is better).
 
-    Queries and texts are compared as runs of a-z and 0-9 in lower case; see parsed for the query's language.
-    Document numbers and lengths come from the whole table in one pass; only documents that match go on. NULL texts
-    take no part; a query without words gives no rows.
+    Queries and texts are compared as words of any script without case and accents (functions.text.words); see
+    parsed for the query's language. The texts are read once, for a row of counts per document; document numbers and
+    lengths come from these, and only documents that match go on. NULL texts take no part; a query without words gives no rows.
     """
     tree, units = parsed(query)
-    docs = documents.where(F.col(text).isNotNull()).select(F.col(key).alias("key_"), F.array_remove(F.split(F.lower(text), "[^a-z0-9]+"), "").alias("words"))
+    docs = documents.where(F.col(text).isNotNull()).select(F.col(key).alias("key_"), words_in(F.col(text)).alias("words"))
     words = F.col("words")
     holds = _holds(tree, words) if tree is not None else F.lit(False)
-    counted = docs.select("key_", F.size("words").alias("dl"), holds.alias("holds"), *[u.count(words).alias(f"tf{i}") for i, u in enumerate(units)])
+    counted = cut_lineage(docs.select("key_", F.size("words").alias("dl"), holds.alias("holds"), *[u.count(words).alias(f"tf{i}") for i, u in enumerate(units)]))
     stats = counted.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(units))])
     joined = counted.where("holds").join(F.broadcast(stats))
     score = F.lit(0.0)
@@ -132,10 +131,54 @@ def bm25(documents: DataFrame, query: str, key: str = "doc_id", text: str = "tex
     return joined.select(F.col("key_").alias(key), score.alias("score"))
 
 
+_SCORES = "query_id bigint, id bigint, score double"
+
+
+def _best(q: pd.DataFrame, r: pd.DataFrame, k: int | None, least: float | None) -> pd.DataFrame:
+    """The products of query vectors (query_id, q) and rows (id, v): of each query the k best with all ties, or all from least on if k is None."""
+    empty = pd.DataFrame({"query_id": [], "id": [], "score": []})
+    out = []
+    for n, some_q in q.groupby(q["q"].map(len)) if len(q) and len(r) else ():
+        same = r[r["v"].map(len) == n]
+        if same.empty:
+            continue
+        scores = np.stack(some_q["q"].to_list()).astype("float64") @ np.stack(same["v"].to_list()).astype("float64").T
+        ids = same["id"].to_numpy()
+        for query, s in zip(some_q["query_id"], scores):
+            s = np.where(ids == query, -np.inf, s)
+            # the k best with every tie of the last, so that ties are broken by id at the end and not here
+            floor = np.partition(s, -k)[-k] if k is not None and len(s) > k else -np.inf
+            best = np.flatnonzero((s >= (floor if least is None else max(floor, least))) & np.isfinite(s))
+            out.append(pd.DataFrame({"query_id": query, "id": ids[best], "score": s[best]}))
+    return pd.concat(out) if out else empty
+
+
+def _scanned(rows: DataFrame, queries: pd.DataFrame, k: int | None, least: float | None) -> DataFrame:
+    """_products of at most QUERIES query vectors, which travel with the tasks: the rows are read where they are and only the best of each task go on."""
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: pd.DataFrame | None = None
+        for r in batches:
+            found = _best(queries, r, k, least)
+            if k is None:
+                yield found
+                continue
+            held = found if held is None else pd.concat([held, found], ignore_index=True)
+            # every tie of the k-th stays, as in _best
+            held = held[held.groupby("query_id")["score"].rank(method="min", ascending=False) <= k]
+        if held is not None:
+            yield held
+
+    return rows.mapInPandas(scan, _SCORES)
+
+
 def _products(vectors: DataFrame, queries: DataFrame, k: int | None, key: str, vector: str, least: float | None) -> DataFrame:
     """(query_id, id, score) of query vectors and other rows: of each chunk of rows the k best with all ties, or all from least on if k is None."""
     some = queries.where(f"{vector} is not null").select(F.col(key).alias("query_id"), F.col(vector).alias("q"))
     rows = vectors.where(f"{vector} is not null").select(F.col(key).alias("id"), F.col(vector).alias("v"))
+    few = some.limit(QUERIES + 1).toPandas()
+    if len(few) <= QUERIES:
+        return _scanned(rows, few, k, least)
     blocks = max(1, -(-some.count() // QUERIES))
     chunks = max(1, -(-rows.count() // ROWS))
     spread = lambda df, by, own, n_own, other, n_other: df.withColumn(own, F.pmod(F.xxhash64(by), F.lit(n_own)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(n_other - 1))))
@@ -143,32 +186,17 @@ def _products(vectors: DataFrame, queries: DataFrame, k: int | None, key: str, v
     right = spread(rows, "id", "chunk", chunks, "block", blocks)
 
     def product(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"query_id": [], "id": [], "score": []})
-        if q.empty or r.empty:
-            return empty
-        out = []
-        for n, some_q in q.groupby(q["q"].map(len)):
-            same = r[r["v"].map(len) == n]
-            if same.empty:
-                continue
-            scores = np.stack(some_q["q"].to_list()).astype("float64") @ np.stack(same["v"].to_list()).astype("float64").T
-            ids = same["id"].to_numpy()
-            for query, s in zip(some_q["query_id"], scores):
-                s = np.where(ids == query, -np.inf, s)
-                # the k best with every tie of the last, so that ties are broken by id at the end and not here
-                floor = np.partition(s, -k)[-k] if k is not None and len(s) > k else -np.inf
-                best = np.flatnonzero((s >= (floor if least is None else max(floor, least))) & np.isfinite(s))
-                out.append(pd.DataFrame({"query_id": query, "id": ids[best], "score": s[best]}))
-        return pd.concat(out) if out else empty
+        return _best(q, r, k, least)
 
-    return left.groupBy("block", "chunk").cogroup(right.groupBy("block", "chunk")).applyInPandas(product, "query_id bigint, id bigint, score double")
+    return left.groupBy("block", "chunk").cogroup(right.groupBy("block", "chunk")).applyInPandas(product, _SCORES)
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", least: float | None = None) -> DataFrame:
     """(query_id, key, score, rank): for each query vector the k rows of the largest dot product, the query itself left out.
 
-    Exact: queries in blocks meet rows in chunks, one matrix product each, in a task of bounded size. Each keeps its
-    k best, so that what is ranked at last is k rows per query and chunk. Rows of another length or NULL are left out.
+    Exact: up to QUERIES queries travel to the rows; more meet them in blocks and chunks, one matrix product each, in a
+    task of bounded size. Each keeps its k best, so that what is ranked at last is k rows per query and task or chunk.
+    Rows of another length or NULL are left out.
     """
     part = _products(vectors, queries, k, key, vector, least)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "id"))

@@ -8,6 +8,7 @@ from turnloom.plans import dashboards as _dashboards  # noqa: F401
 from turnloom.plans import edits as _edits  # noqa: F401
 from turnloom.plans import lookups as _lookups  # noqa: F401
 from turnloom.plans import relations as _relations  # noqa: F401
+from turnloom.plans import sessions as _sessions  # noqa: F401
 from turnloom.plans import streams as _streams  # noqa: F401
 from turnloom.plans import texts as _texts  # noqa: F401
 

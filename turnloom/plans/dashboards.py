@@ -11,9 +11,9 @@ from turnloom.operators.turns import combined_turns
 from turnloom.plans.registry import SQL, query
 from turnloom.sources.tables import table
 
-#: Words without meaning of their own, left out of word lists.
-STOP_WORDS = tuple("the and for that this with you are was not have has had but can will would should from they there their then than when what which who why how all any one two out use used using its into also just like more most some such only other over under about after before been being did does each few her him his our she these those too very were where while".split())
-_STOP = ", ".join(f"'{w}'" for w in STOP_WORDS)
+#: Words that word lists leave out.
+STOP_WORDS = tuple("the and for with that this from you your are was were have has had will can could should would not but what when where which who why how its it's to of in on at as by or if is be we they them their i me my our us so an a it there here than then also just into about over under please thanks ok okay yes yeah sure well now let lets".split())
+_STOP = ", ".join("'" + w.replace("'", "''") + "'" for w in STOP_WORDS)
 
 _CAP = """cap AS (SELECT median_ms, CAST(CASE WHEN median_ms > 0 THEN greatest(60000, least(3600000, median_ms * 10)) ELSE 600000 END AS BIGINT) AS cap_ms FROM
   (SELECT coalesce(CAST(floor(median(response_time_ms)) AS BIGINT), 0) AS median_ms FROM turns WHERE role = 'assistant' AND response_time_ms > 0))"""

@@ -5,34 +5,59 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from turnloom.functions.text import SPACE, digest
 from turnloom.functions.vectors import dot
 from turnloom.operators import index as N
+from turnloom.operators.adapter import code_edits
 from turnloom.plans.registry import query
 from turnloom.sources.tables import table
 
 
-@query("""WITH e AS (SELECT id, name, arguments_json AS a FROM parsed_tool_calls WHERE name IN ('Edit', 'Write') AND json_valid(arguments_json)),
-x AS (SELECT id, name, json_extract_string(a, '$.file_path') AS file, coalesce(json_extract_string(a, '$.new_string'), json_extract_string(a, '$.content')) AS after, json_extract_string(a, '$.old_string') AS before FROM e)
-SELECT id, file, CASE WHEN coalesce(after, '') = '' THEN 0 ELSE len(string_split(after, chr(10))) END AS lines_after, CASE WHEN coalesce(before, '') = '' THEN 0 ELSE len(string_split(before, chr(10))) END AS lines_before FROM x WHERE file IS NOT NULL""")
+_LINES = "CASE WHEN coalesce({c}, '') = '' THEN 0 ELSE len(string_split({c}, chr(10))) END"
+_EDITS = """e AS (SELECT id, event_row_id, call_index, lower(name) AS name, CASE WHEN json_valid(arguments_json) THEN arguments_json END AS a, CASE WHEN json_valid(file_paths_json) THEN json_extract_string(file_paths_json, '$[0]') END AS p FROM parsed_tool_calls WHERE lower(name) IN ('write', 'edit')),
+x AS (SELECT id, event_row_id, call_index, coalesce(nullif(p, ''), nullif(json_extract_string(a, '$.file_path'), ''), nullif(json_extract_string(a, '$.path'), '')) AS file, CASE WHEN name = 'edit' THEN json_extract_string(a, '$.old_string') END AS before, json_extract_string(a, CASE WHEN name = 'write' THEN '$.content' ELSE '$.new_string' END) AS after FROM e)"""
+
+
+def _edits(spark: SparkSession, folder: str) -> DataFrame:
+    calls = table(spark, folder, "parsed_tool_calls")
+    lines = lambda c: F.when(F.coalesce(c, F.lit("")) == "", 0).otherwise(F.size(F.split(c, "\n"))).cast("bigint")
+    rows = code_edits(calls.select("id", "name", F.col("arguments_json").alias("arguments"), F.col("file_paths_json").alias("file_paths"), F.col("raw_json").alias("raw")))
+    return rows.select("id", "file", lines(F.col("after")).alias("lines_after"), lines(F.col("before")).alias("lines_before"))
+
+
+@query(f"""WITH {_EDITS} SELECT id, file, {_LINES.format(c='after')} AS lines_after, {_LINES.format(c='before')} AS lines_before FROM x WHERE file IS NOT NULL""")
 def t05_code_edits(spark: SparkSession, folder: str) -> DataFrame:
     """The edits that calls describe, with their lines before and after."""
-    calls = table(spark, folder, "parsed_tool_calls").where("name in ('Edit', 'Write')").where(F.try_parse_json("arguments_json").isNotNull())
-    of = lambda k: F.get_json_object("arguments_json", f"$.{k}")
-    lines = lambda c: F.when(F.coalesce(c, F.lit("")) == "", 0).otherwise(F.size(F.split(c, "\n"))).cast("bigint")
-    return calls.select("id", of("file_path").alias("file"), lines(F.coalesce(of("new_string"), of("content"))).alias("lines_after"), lines(of("old_string")).alias("lines_before")).where("file is not null")
+    return _edits(spark, folder)
+
+
+@query(f"""WITH {_EDITS}, q AS (SELECT r.request_id, x.id, x.event_row_id, x.call_index, file, {_LINES.format(c='after')} AS la, {_LINES.format(c='before')} AS lb FROM x JOIN parsed_events r ON r.id = x.event_row_id WHERE file IS NOT NULL AND r.request_id != ''),
+g AS (SELECT request_id, count(*) AS edits, string_agg(file || ':' || lb || ':' || la, ',' ORDER BY event_row_id, call_index, id) AS list FROM q GROUP BY 1)
+SELECT t.id, t.session_id, t.turn, t.request_id, g.edits, g.list FROM turns t JOIN g ON g.request_id = t.request_id WHERE t.role = 'assistant'""")
+def g04_turn_edits(spark: SparkSession, folder: str) -> DataFrame:
+    """Each assistant turn with the edits of its request, in order as one list."""
+    calls = table(spark, folder, "parsed_tool_calls").select("id", "event_row_id", "call_index")
+    events = table(spark, folder, "parsed_events").where("request_id != ''").select(F.col("id").alias("event_row_id"), "request_id")
+    edits = _edits(spark, folder).join(calls, "id").join(events, "event_row_id")
+    item = F.struct("event_row_id", "call_index", "id", F.concat_ws(":", "file", F.col("lines_before").cast("string"), F.col("lines_after").cast("string")).alias("text"))
+    lists = edits.groupBy("request_id").agg(F.count(F.lit(1)).alias("edits"), F.array_join(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["text"]), ",").alias("list"))
+    return table(spark, folder, "turns").where("role = 'assistant'").select("id", "session_id", "turn", "request_id").join(lists, "request_id").select("id", "session_id", "turn", "request_id", "edits", "list")
 
 
-@query("""SELECT term, doc_id, count(*) AS tf FROM (SELECT doc_id, unnest(list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda w: w != '')) AS term FROM documents WHERE text IS NOT NULL) GROUP BY 1, 2""")
+@query("""SELECT term, doc_id, count(*) AS tf FROM (SELECT doc_id, unnest(list_filter(string_split_regex(strip_accents(lower(text)), '[^\\p{L}\\p{N}]+'), lambda w: w != '')) AS term FROM documents WHERE text IS NOT NULL) GROUP BY 1, 2""")
 def k12_postings(spark: SparkSession, folder: str) -> DataFrame:
     """The inverted index of the documents."""
     return N.postings(table(spark, folder, "documents"))
 
 
-@query("""SELECT d.doc_id, sha256(trim(d.text)) AS text_hash FROM documents d LEFT JOIN documents o ON o.doc_id = d.doc_id AND o.source = 'session_log' WHERE trim(d.text) != '' AND o.doc_id IS NULL""")
+_BARE = f"regexp_replace(d.text, '^{SPACE}+|{SPACE}+$', '', 'g')"
+
+
+@query(f"""SELECT d.doc_id, sha256({_BARE}) AS text_hash FROM documents d LEFT JOIN documents o ON o.doc_id = d.doc_id AND o.source = 'session_log' WHERE {_BARE} != '' AND o.doc_id IS NULL""")
 def x05_stale_documents(spark: SparkSession, folder: str) -> DataFrame:
     """What has to be encoded when the documents of one source are up to date."""
     docs = table(spark, folder, "documents")
-    stored = docs.where("source = 'session_log'").select("doc_id", F.sha2(F.trim("text"), 256).alias("text_hash"))
+    stored = docs.where("source = 'session_log'").select("doc_id", digest(F.col("text")).alias("text_hash"))
     return N.stale(docs, stored).select("doc_id", "text_hash")
 
 

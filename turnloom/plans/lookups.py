@@ -23,8 +23,8 @@ def filter_counts(spark: SparkSession, folder: str) -> DataFrame:
 def filter_scope(spark: SparkSession, folder: str) -> DataFrame:
     """The turns of one workspace folder, that of the first turn."""
     turns = table(spark, folder, "turns")
-    first = turns.where("workspace_folder is not null").orderBy("id").select("workspace_folder").first()
-    return turns.where(P.in_workspace(first[0] if first else None, [])).select("id")
+    first = turns.where("workspace_folder is not null").orderBy("id").limit(1).select(P.plain_folder(F.col("workspace_folder")).alias("first_"))
+    return turns.select("id", P.plain_folder(F.col("workspace_folder")).alias("folder_")).join(F.broadcast(first), F.col("folder_") == F.col("first_")).select("id")
 
 
 @query("""SELECT CASE WHEN coalesce(s, '') != '' THEN 'folder:' || s ELSE 'id:' || workspace_id END AS identity, count(*) AS rows, arg_min(workspace_id, struct_pack(n := length(workspace_id), i := workspace_id)) AS workspace_id, CAST(sum(coalesce(session_count, 0)) AS BIGINT) AS sessions

@@ -49,13 +49,6 @@ def j23_orphan_calls(spark: SparkSession, folder: str) -> DataFrame:
     return calls.join(turns, ["session_id", "turn"], "left_anti").select("id")
 
 
-@query("""SELECT c.id AS call_row, min(t.id) AS result_row, bool_or(t.status = 'error') AS failed FROM parsed_tool_calls c LEFT JOIN turn_tool_calls t ON c.call_id = t.call_id GROUP BY c.id""")
-def j16_call_results(spark: SparkSession, folder: str) -> DataFrame:
-    """Each call with its first result row and whether any failed."""
-    results = table(spark, folder, "turn_tool_calls").where("call_id is not null").groupBy("call_id").agg(F.min("id").alias("result_row"), F.bool_or(F.col("status") == "error").alias("failed"))
-    return table(spark, folder, "parsed_tool_calls").select(F.col("id").alias("call_row"), "call_id").join(results, "call_id", "left").select("call_row", "result_row", "failed")
-
-
 @query("""SELECT s.id AS session_row, count(e.id) AS early_events, min(e.event_index) AS first_index FROM parsed_sessions s LEFT JOIN parsed_events e ON e.session_row_id = s.id AND e.event_index < 8 GROUP BY s.id""")
 def j11_early_events(spark: SparkSession, folder: str) -> DataFrame:
     """Each session with its first eight events; the bound is part of the join."""
@@ -87,7 +80,7 @@ def j25_subset_sessions(spark: SparkSession, folder: str) -> DataFrame:
 
 
 TERMS = ["heatmap", "sessions"]
-_WORDS = "list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda w: w != '')"
+_WORDS = r"list_filter(string_split_regex(strip_accents(lower(text)), '[^\p{L}\p{N}]+'), lambda w: w != '')"
 _TF = ", ".join(f"len(list_filter(w, lambda x: x = '{t}')) AS tf{i}" for i, t in enumerate(TERMS))
 _SCORE = " + ".join(f"greatest(1e-6, ln((n - df{i} + 0.5) / (df{i} + 0.5))) * tf{i} * 2.2 / (tf{i} + 1.2 * (0.25 + 0.75 * dl / avgdl))" for i in range(len(TERMS)))
 _BM25 = f"""d AS (SELECT doc_id, {_WORDS} AS w FROM documents WHERE text IS NOT NULL), c AS (SELECT doc_id, len(w) AS dl, {_TF} FROM d),
@@ -115,16 +108,29 @@ def r06_semantic_search(spark: SparkSession, folder: str) -> DataFrame:
     return S.nearest(vectors, vectors.where("vec_id % 20 = 0"), 10).withColumn("score", F.round("score", 6))
 
 
-@query(f"""WITH {_BM25}, kr AS (SELECT doc_id, row_number() OVER (ORDER BY round(score, 9) DESC, doc_id) AS rank FROM k ORDER BY rank LIMIT 100),
+@query(f"WITH {_BM25} SELECT doc_id, round(score, 6) AS score FROM k ORDER BY k.score DESC, doc_id LIMIT 20 OFFSET 20")
+def r01_search_page(spark: SparkSession, folder: str) -> DataFrame:
+    """The second page of a keyword search, by the entry point of all searches."""
+    from turnloom.plans.views import search
+
+    return search(table(spark, folder, "documents"), text=" ".join(TERMS), number=2).select("doc_id", F.round("score", 6).alias("score"))
+
+
+@query(f"""WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents WHERE text IS NOT NULL) SELECT doc_id FROM d WHERE list_contains(w, 'uber') OR list_contains(w, 'seccion') OR list_contains(w, '部') OR len(list_filter(w, lambda x: starts_with(x, 'pour'))) > 0""")
+def r04_words_of_any_script(spark: SparkSession, folder: str) -> DataFrame:
+    """Words are found without regard to case and accents, in any script."""
+    return S.bm25(table(spark, folder, "documents"), "Über OR SECCIÓN OR 部 OR pour*").select("doc_id")
+
+
+@query(f"""WITH {_BM25}, kr AS (SELECT doc_id, row_number() OVER (ORDER BY round(score, 9) DESC, doc_id) AS rank FROM k),
 s AS (SELECT v.vec_id AS doc_id, list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])) AS score FROM embeddings q JOIN embeddings v ON q.vec_id = 20 AND v.vec_id != 20),
-sr AS (SELECT doc_id, row_number() OVER (ORDER BY round(score, 9) DESC, doc_id) AS rank FROM s ORDER BY rank LIMIT 100),
+sr AS (SELECT doc_id, row_number() OVER (ORDER BY round(score, 9) DESC, doc_id) AS rank FROM s WHERE score >= 0.3),
 f AS (SELECT coalesce(kr.doc_id, sr.doc_id) AS doc_id, coalesce(1.0 / (60 + kr.rank), 0) + coalesce(1.0 / (60 + sr.rank), 0) AS raw FROM kr FULL JOIN sr ON kr.doc_id = sr.doc_id) SELECT doc_id, round(CAST(raw / (SELECT max(raw) FROM f) AS DOUBLE), 6) AS score FROM f""")
 def r07_hybrid_search(spark: SparkSession, folder: str) -> DataFrame:
-    """The first hundred keyword and semantic ranks fused, as its SQL has it; views.search fuses all."""
-    keyword = S.ranked(S.bm25(table(spark, folder, "documents"), " ".join(TERMS)), "doc_id", 100)
-    vectors = table(spark, folder, "embeddings")
-    semantic = S.nearest(vectors, vectors.where("vec_id = 20"), 100).select(F.col("vec_id").alias("doc_id"), "rank")
-    return S.fuse(keyword, semantic, "doc_id").select("doc_id", F.round("score", 6).alias("score"))
+    """All keyword matches and all vectors over the least score, fused by their ranks."""
+    from turnloom.plans.views import found
+
+    return found(table(spark, folder, "documents"), table(spark, folder, "embeddings"), " ".join(TERMS), 20, "hybrid").select("doc_id", F.round("score", 6).alias("score"))
 
 
 @query(f"""SELECT {_DAY} AS day, count(*) AS hits, count(DISTINCT session_id) AS sessions, count(DISTINCT workspace_id) AS workspaces FROM turns WHERE regexp_matches(lower(original_text), '\\bheatmap\\b') AND {_DAY} IS NOT NULL GROUP BY 1""")

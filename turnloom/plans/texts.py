@@ -72,9 +72,15 @@ def f51_diff_lines(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "turns").where(t.isNotNull()).select("id", X.diff_lines(t, "+").cast("bigint").alias("added"), X.diff_lines(t, "-").cast("bigint").alias("removed"))
 
 
-@query("""SELECT d.doc_id, sha256(trim(d.text)) AS text_hash, e.vec_id IS NULL AS missing FROM documents d LEFT JOIN embeddings e ON e.vec_id = d.doc_id WHERE d.text IS NOT NULL""")
+@query(f"""SELECT d.doc_id, sha256(regexp_replace(d.text, '^{X.SPACE}+|{X.SPACE}+$', '', 'g')) AS text_hash, e.vec_id IS NULL AS missing FROM documents d LEFT JOIN embeddings e ON e.vec_id = d.doc_id WHERE d.text IS NOT NULL""")
 def r11_embedding_backfill(spark: SparkSession, folder: str) -> DataFrame:
     """Each document's text hash and whether its embedding is missing."""
     docs = table(spark, folder, "documents").where("text is not null").select("doc_id", X.digest(F.col("text")).alias("text_hash"))
     known = table(spark, folder, "embeddings").select(F.col("vec_id").alias("doc_id"), F.lit(False).alias("have"))
     return docs.join(known, "doc_id", "left").select("doc_id", "text_hash", F.col("have").isNull().alias("missing"))
+
+
+@query("""SELECT id, CASE WHEN timestamp_ms IS NULL THEN '' ELSE strftime(make_timestamp(timestamp_ms * 1000), '%Y-%m-%dT%H:%M:%S') || CASE WHEN timestamp_ms % 1000 != 0 THEN '.' || lpad(CAST(timestamp_ms % 1000 AS VARCHAR), 3, '0') || '000' ELSE '' END || '+00:00' END AS iso FROM turns WHERE timestamp_ms IS NULL OR timestamp_ms BETWEEN 0 AND 10000000000000""")
+def f35_iso_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """instants in milliseconds as ISO texts."""
+    return table(spark, folder, "turns").where("timestamp_ms is null or timestamp_ms between 0 and 10000000000000").select("id", X.iso_of(F.col("timestamp_ms")).alias("iso"))

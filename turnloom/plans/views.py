@@ -83,6 +83,11 @@ def search_total(documents: DataFrame, vectors: DataFrame | None = None, text: s
     return _results(documents, vectors, text, query_id, mode, strict, None).count()
 
 
+def found(documents: DataFrame, vectors: DataFrame, text: str, query_id: int, mode: str, strict: bool = False) -> DataFrame:
+    """All results (doc_id, score) of search, on whatever page."""
+    return _results(documents, vectors, text, query_id, mode, strict, None)
+
+
 def _results(documents: DataFrame, vectors: DataFrame | None, text: str, query_id: int | None, mode: str, strict: bool, deep: int | None) -> DataFrame:
     """All results (doc_id, score) of a search; of semantic ones the deep best, or all if deep is None."""
     if mode not in ("keyword", "semantic", "hybrid"):

@@ -10,10 +10,11 @@ import copy
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from turnloom.functions import jsontree as J
+from turnloom.functions.text import path as normal_path
 
 EVENT = ("file", "event_index", "event_type", "role", "timestamp", "message_id", "parent_id", "session_id", "model_id", "text", "thinking_text", "tool_names", "input_tokens", "output_tokens")
 
@@ -61,8 +62,6 @@ def tree_events(rows: DataFrame) -> DataFrame:
 
 def rollout_events(rows: DataFrame) -> DataFrame:
     """Events of rollout logs: {type, timestamp, payload}; messages and tool calls count, the model is that of the last turn context before."""
-    from pyspark.sql import Window
-
     before = Window.partitionBy("file").orderBy("event_index").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.where("valid").withColumn("model_", F.last(F.when(_get("type") == "turn_context", _get("payload.model")), ignorenulls=True).over(before)).withColumn("session_", F.last(F.when(_get("type") == "session_meta", _get("payload.id")), ignorenulls=True).over(before))
     kind = _get("payload.type")
@@ -74,8 +73,6 @@ def rollout_events(rows: DataFrame) -> DataFrame:
 
 def command_line_events(rows: DataFrame) -> DataFrame:
     """Events of command-line logs: {type: user.message and so on, timestamp, data: {content, model, toolRequests}}; a model change holds from then on."""
-    from pyspark.sql import Window
-
     before = Window.partitionBy("file").orderBy("event_index").rowsBetween(Window.unboundedPreceding, 0)
     kind = _get("type")
     model = F.coalesce(F.when(kind == "session.model_change", F.coalesce(_get("data.newModel"), _get("data.model"))), F.when(kind == "session.start", _get("data.selectedModel")), F.when(kind == "assistant.message", _get("data.model")))
@@ -85,50 +82,59 @@ def command_line_events(rows: DataFrame) -> DataFrame:
     return _shaped(rows, event_type=kind, role=F.split(kind, r"\.")[0], timestamp=_get("timestamp"), message_id=F.coalesce(_get("data.messageId"), _get("id")), session_id=F.col("session_"), model_id=F.when(kind == "assistant.message", F.col("model_")), text=_get("data.content"), tool_names=tools)
 
 
+def _index(step: object) -> int | None:
+    """A step of a path that is a whole number; the digits of a text are a name."""
+    if isinstance(step, J.Number):
+        return int(step) if step.isdigit() else None
+    return step if isinstance(step, int) and not isinstance(step, bool) and step >= 0 else None
+
+
+def _inside(at: object, step: object, fresh: type) -> tuple[object, object] | None:
+    """(container, key) for a step into a list or an object, what is missing being made; None where it leads nowhere."""
+    i = _index(step)
+    if isinstance(at, list):
+        if i is None:
+            return None
+        at += [fresh() for _ in range(i + 1 - len(at))]
+        return at, i
+    return (at, str(step)) if isinstance(at, dict) else None
+
+
 def replayed(entries: list[object]) -> object:
-    """The document that a delta log stands for: kind 0 sets it, 1 sets the value at a path, 2 adds to the list at a path.
+    """The document that a delta log stands for: its first entry, if of kind 0, is the start; later ones of kind 1 set the value at a path, of kind 2 add a list's values to the list there.
 
-    Missing parts of a path are made, lists padded with NULLs; entries of other kinds and unreadable ones are skipped.
+    Missing objects of a path are made, lists padded with empty objects (with empty lists where values are added); a step that fits no
+    container, values that are no list and entries of other kinds or without a path change nothing. A document
+    without requests gets an empty list of them.
     """
-    state: object = None
-    for e in entries:
-        if not isinstance(e, dict):
-            continue
-        kind, path, value = str(e.get("kind")), e.get("k") or [], copy.deepcopy(e.get("v"))
-        if kind == "0" or kind == "1" and not path:
-            state = value
+    rows = [e for e in entries if isinstance(e, dict)]
+    first = copy.deepcopy(rows[0].get("v")) if rows and str(rows[0].get("kind")) == "0" else {}
+    state: dict = first if isinstance(first, dict) else {}
+    for e in rows[1:]:
+        kind, path = str(e.get("kind")), e.get("k")
+        if kind not in ("1", "2") or not isinstance(path, list) or not path:
             continue
-        if kind not in ("1", "2") or not isinstance(path, list):
-            continue
-        if state is None:
-            state = {}
-        at, ok = state, True
-        for step, after in zip(path, [*path[1:], None]):
-            last = after is None
-            if isinstance(at, list):
-                if not str(step).isdigit():
-                    ok = False
-                    break
-                step = int(step)
-                at.extend([None] * (step + 1 - len(at)))
-            elif isinstance(at, dict):
-                step = str(step)
-                at.setdefault(step, None)
-            else:
-                ok = False
+        at: object = state
+        for step in path[:-1]:
+            if (found := _inside(at, step, dict)) is None:
                 break
-            if last:
-                if kind == "1":
-                    at[step] = value
-                else:
-                    held = at[step] if isinstance(at[step], list) else []
-                    at[step] = held + (value if isinstance(value, list) else [value])
-            else:
-                if not isinstance(at[step], (dict, list)):
-                    at[step] = [] if str(after).isdigit() and not isinstance(after, str) else {}
-                at = at[step]
-        if not ok:
-            continue
+            box, key = found
+            if isinstance(box, dict):
+                box.setdefault(key, {})
+            at = box[key]
+        else:
+            if (found := _inside(at, path[-1], dict if kind == "1" else list)) is None:
+                continue
+            box, key = found
+            value = copy.deepcopy(e.get("v"))
+            if kind == "1":
+                box[key] = value
+                continue
+            if isinstance(box, dict):
+                box.setdefault(key, [])
+            if isinstance(box[key], list) and isinstance(value, list):
+                box[key].extend(value)
+    state.setdefault("requests", [])
     return state
 
 
@@ -143,7 +149,7 @@ def delta_documents(rows: DataFrame) -> DataFrame:
             except ValueError:
                 continue
         state = replayed(entries)
-        return pd.DataFrame({"file": [df["file"].iloc[0]], "document": [J.clean(dump(state)) if state is not None else None]})
+        return pd.DataFrame({"file": [df["file"].iloc[0]], "document": [J.clean(dump(state))]})
 
     return rows.select("file", "event_index", "line").groupBy("file").applyInPandas(fold, "file string, document string")
 
@@ -172,8 +178,6 @@ def edit_baselines(baselines: DataFrame, final: DataFrame) -> DataFrame:
 
     Equal or missing contents are no edits. baselines: (resource, request_id, epoch, hash); final: (resource, hash).
     """
-    from pyspark.sql import Window
-
     w = Window.partitionBy("resource").orderBy("epoch", "request_id")
     ended = final.select("resource", F.col("hash").alias("final_"))
     rows = baselines.withColumn("next_", F.lead("hash").over(w)).join(ended, "resource", "left").withColumn("after_hash", F.coalesce("next_", "final_"))
@@ -188,3 +192,49 @@ def folded_files(paths: Iterator[str]) -> list[str]:
         if p.endswith(".jsonl") or stem not in chosen:
             chosen[stem] = p
     return sorted(chosen.values())
+
+
+def attachments(rows: DataFrame) -> DataFrame:
+    """(file, event_index, place, kind, path, title, media_type) of the files that events refer to, as texts or objects, in the event and in its message."""
+    item = "struct<path:string,file_path:string,title:string,name:string,media_type:string,mime_type:string>"
+    lists = [F.struct(F.lit(kind).alias("kind"), F.from_json(F.when(_get(at).startswith("["), _get(at)), "array<string>").alias("items")) for at, kind in (("attachment_refs", "attachment_refs"), ("attachments", "attachments"), ("message.attachment_refs", "attachment_refs"), ("message.attachments", "attachments"))]
+    each = rows.where("valid").select("file", "event_index", F.posexplode(F.array(*lists)).alias("list", "l")).select("file", "event_index", "list", "l.kind", F.posexplode("l.items").alias("n", "item")).where("item is not null")
+    of = F.from_json(F.when(F.col("item").startswith("{"), F.col("item")), item)
+    first = lambda *names: F.coalesce(*[F.nullif(of[n], F.lit("")) for n in names], F.lit(""))
+    plain = ~F.col("item").startswith("{")
+    place = F.row_number().over(Window.partitionBy("file", "event_index").orderBy("list", "n")) - 1
+    return each.select("file", "event_index", place.alias("place"), "kind", normal_path(F.when(plain, F.col("item")).otherwise(first("path", "file_path"))).alias("path"), F.when(plain, "").otherwise(first("title", "name")).alias("title"), F.when(plain, "").otherwise(first("media_type", "mime_type")).alias("media_type"))
+
+
+def subagents(rows: DataFrame) -> DataFrame:
+    """(file, tool_use_id, agent): the agent that each call started, told by queue and progress entries; the last one counts."""
+    queued = (_get("type") == "queue-operation") & (_get("operation") == "enqueue")
+    progress = (_get("type") == "progress") & (_get("data.type") == "agent_progress")
+    of = lambda *paths: F.coalesce(*[F.nullif(_get(p), F.lit("")) for p in paths])
+    parents = ("parentToolUseID", "parentToolUseId")
+    task = F.coalesce(F.nullif(F.regexp_extract("line", r'(?i)"task[_-]?id"\s*:\s*"([^"]+)"', 1), F.lit("")), F.nullif(F.regexp_extract("line", r"agent-([A-Za-z0-9_-]+)", 1), F.lit("")))
+    call = F.when(queued, of("tool_use_id", "toolUseId", *parents)).when(progress, of(*parents, *[f"data.{p}" for p in parents]))
+    agent = F.when(queued, task).when(progress, of("data.agentId"))
+    told = rows.where("valid").select("file", "event_index", call.alias("tool_use_id"), agent.alias("agent")).where("tool_use_id is not null and agent is not null")
+    last = told.groupBy("file", "tool_use_id").agg(F.max_by("agent", "event_index").alias("agent"))
+    return last.withColumn("agent", F.when(F.col("agent").startswith("agent-"), F.col("agent")).otherwise(F.concat(F.lit("agent-"), F.col("agent"))))
+
+
+def session_metadata(rows: DataFrame) -> DataFrame:
+    """(file, cwd, version, entrypoint, headless): the first given value of each in line order; a run by the SDK is headless."""
+    first = lambda name: F.min_by(F.nullif(_get(name), F.lit("")), F.when(F.coalesce(_get(name), F.lit("")) != "", F.col("event_index"))).alias(name)
+    each = rows.where("valid").groupBy("file").agg(first("cwd"), first("version"), first("entrypoint"))
+    return each.withColumn("headless", F.coalesce(F.col("entrypoint") == "sdk-cli", F.lit(False)))
+
+
+def thread_names(rows: DataFrame) -> DataFrame:
+    """(id, thread_name) of the lines of a session index; the last one counts."""
+    told = rows.where("valid").select("event_index", _get("id").alias("id"), _get("thread_name").alias("thread_name")).where("id != '' and thread_name != ''")
+    return told.groupBy("id").agg(F.max_by("thread_name", "event_index").alias("thread_name"))
+
+
+def attached_edits(events: DataFrame, edits: DataFrame) -> DataFrame:
+    """events (session, event_index, role, request_id) with the edits (session, request_id, edits) of their request, at its first assistant event only."""
+    first = events.where("role = 'assistant' and request_id != ''").groupBy("session", "request_id").agg(F.min("event_index").alias("event_index"))
+    placed = edits.join(first, ["session", "request_id"]).select("session", "event_index", "edits")
+    return events.join(placed, ["session", "event_index"], "left")
