@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: Characters from which a text is cut into pieces before it is encoded.
 LONG = 50_000
+#: Fixed value: how the public byte-level tokenizers split text before they merge.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: A place where two pre-tokens always meet: white space after an ASCII letter, digit or mark. No pre-token
 #: of the public pattern goes on over it, and its look-ahead concerns runs of white space only.
 _SAFE = re.compile(r"(?<=[!-~])(?=[ \n])")
@@ -27,18 +29,18 @@ def default_ranks() -> str:
     return os.path.join(folder, "byte_bpe_50k.tiktoken")
 
 
+def ranks(path: str | None) -> dict[bytes, int]:
+    """The tokens of a rank file, with their ids."""
+    with open(path or default_ranks(), "rb") as f:
+        return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
+
+
 @lru_cache(maxsize=4)
 def encoding(path: str | None, pattern: str | None = None):
     """The tiktoken encoding of a rank file, loaded once a worker. It knows no special tokens."""
     import tiktoken
 
-    if pattern is None:
-        import public_tokenizers
-
-        pattern = public_tokenizers.PATTERN
-    with open(path or default_ranks(), "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
-    return tiktoken.Encoding("local", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("local", pat_str=pattern or PATTERN, mergeable_ranks=ranks(path), special_tokens={})
 
 
 def pieces(text: str, long: int = LONG) -> list[str]:
