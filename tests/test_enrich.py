@@ -104,3 +104,18 @@ def test_views(spark, small):
     for wrong in ({"text": " "}, {"text": "a", "mode": "odd"}, {"text": "a", "mode": "hybrid"}):
         with pytest.raises(ValueError):
             views.search(docs, **wrong)
+
+
+def test_line_features(spark):
+    got = K.line_features("  aab 12!")
+    assert got[0] == pytest.approx(K.entropy("  aab 12!")) and got[1:5] == (2 / 9, 1 / 9, 2 / 9, 2 / 8) and got[5:7] == (3.0, 0.0) and got[8] == 1 / 9
+    assert K.line_features(None) == K.line_features("") == (0.0,) * 9 and K.line_features("a")[4] == 0
+    df = spark.createDataFrame([("abcdefghi x",), (None,)], "s string")
+    assert [r.f.long_word_ratio for r in df.select(K.features_column(df.s).alias("f")).collect()] == [0.5, 0.0]
+
+
+def test_texts_of_json(spark):
+    rows = ['["a", {"text": " b "}, {"value": ["c", null]}, 4, {"x": 1}]', '{"text": "", "content": {"value": "d"}}', '"s"', "null", "{cut", None, '[{"type": "text", "text": "t"}, {"type": "thinking", "thinking": "h"}, {"type": "x", "content": "c"}, " ", "p", 3]', '{"output": "o", "result": "r"}']
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "i int, j string")
+    got = [(r.c, r.f) for r in df.select("i", K.text_column(df.j).alias("c"), K.text_column(df.j, "flattened").alias("f")).orderBy("i").collect()]
+    assert got == [("a\nb\nc\n4", "a"), ("d", ""), ("s", "s"), ("", ""), (None, None), (None, None), ("t\nc\np\n3", "t\nh\nc\np"), ("", "o")]

@@ -126,3 +126,32 @@ def clean(text: str) -> str:
 
 
 assert sys.maxsize > 2**32
+
+
+def coerced(value: object) -> str:
+    """The text of a value of any nesting: of lists the texts of their members, a line each; of objects the first that isn't blank of text, value and content; scalars as they are written."""
+    if value is None:
+        return ""
+    if isinstance(value, list):
+        return "\n".join(t for t in (coerced(v).strip() for v in value) if t)
+    if isinstance(value, dict):
+        return next((t for t in (coerced(value[k]).strip() for k in ("text", "value", "content") if k in value) if t), "")
+    return str(value)
+
+
+def flattened(value: object) -> str:
+    """The text of a message's content: a string, a list of strings and of blocks (their text or thinking by their type, else value or content), or an object's first text that isn't blank."""
+    said = lambda v: v if isinstance(v, str) and not isinstance(v, Number) and v.strip() else ""
+    if isinstance(value, dict):
+        return next((t for t in (said(value.get(k)) for k in ("text", "content", "value", "message", "output", "result")) if t), "")
+    if not isinstance(value, list):
+        return value if isinstance(value, str) and not isinstance(value, Number) else ""
+    parts = []
+    for v in value:
+        if isinstance(v, dict):
+            kind = str(v.get("type", "")).strip()
+            own = kind if kind in ("text", "thinking") and isinstance(v.get(kind), str) else None
+            parts.append(said(v[own]) if own else said(v.get("value")) or said(v.get("content")))
+        else:
+            parts.append(said(v))
+    return "\n".join(p for p in parts if p)

@@ -5,12 +5,15 @@ from __future__ import annotations
 import difflib
 import math
 import re
+import string
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from turnloom.functions import jsontree as J
+
 #: A text is shrunk from this length and this many lines on.
 LEAST_CHARS, LEAST_LINES = 1024, 8
 #: Runs of this many lines of one kind are thinned, outside so many characters at either end.
@@ -29,6 +32,33 @@ def entropy(text: str) -> float:
     return -sum(c / n * math.log2(c / n) for c in (text.count(x) for x in set(text))) if n else 0.0
 
 
+#: The features of a line, in order.
+LINE_FEATURES = ("entropy", "digit_ratio", "punctuation_ratio", "leading_space_ratio", "repetition_ratio", "mean_word_length", "long_word_ratio", "shape_entropy", "symbol_ratio")
+
+
+def line_features(line: str | None) -> tuple[float, ...]:
+    """LINE_FEATURES of a line, shares of its characters or words; all 0 for NULL and ''. Long words have over 8 characters; a shape is a letter, digit, blank or symbol."""
+    s = line or ""
+    n, words = len(s), s.split()
+    if not n:
+        return (0.0,) * len(LINE_FEATURES)
+    shape = "".join("A" if c.isalpha() else "D" if c.isdigit() else "_" if c.isspace() else "S" for c in s)
+    twice = sum(a == b for a, b in zip(s, s[1:])) / (n - 1) if n > 1 else 0.0
+    w = max(len(words), 1)
+    return (entropy(s), shape.count("D") / n, sum(c in string.punctuation for c in s) / n, (n - len(s.lstrip())) / n, twice, sum(map(len, words)) / w, sum(len(x) > 8 for x in words) / w, entropy(shape), sum(not c.isalnum() and not c.isspace() for c in s) / n)
+
+
+def features_column(line: Column) -> Column:
+    """Struct of LINE_FEATURES of a text column, in Arrow batches."""
+
+    @F.pandas_udf(", ".join(f"{name} double" for name in LINE_FEATURES))
+    def made(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for s in batches:
+            yield pd.DataFrame([line_features(x) for x in s], columns=list(LINE_FEATURES))
+
+    return made(line)
+
+
 def line_kind(line: str) -> str:
     """code, logs, text or none of a line, by its shape: a rule in place of a trained model."""
     s = line.strip()
@@ -144,3 +174,21 @@ def edit_metrics(before: Column, after: Column) -> Column:
         return pd.DataFrame(rows, columns=["lines_added", "lines_removed", "nloc", "complexity"])
 
     return run(before, after)
+
+
+def text_column(json: Column, form: str = "coerced") -> Column:
+    """jsontree.coerced or flattened of JSON text, in Arrow batches; NULL for NULL and for text that isn't JSON."""
+    shape = {"coerced": J.coerced, "flattened": J.flattened}[form]
+
+    def one(text: str | None) -> str | None:
+        try:
+            return None if text is None else J.clean(shape(J.parse(text)))
+        except ValueError:
+            return None
+
+    @F.pandas_udf("string")
+    def made(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in batches:
+            yield pd.Series([one(t) for t in s], dtype=object)
+
+    return made(json)

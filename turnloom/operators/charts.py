@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from turnloom.functions.text import trimmed
+
 
 def top_and_others(df: DataFrame, key: str, value: str, k: int) -> DataFrame:
     """The k largest keys and one row 'others' with the sum of the rest, if there is a rest. NULL keys are left out."""
@@ -63,3 +65,20 @@ def page(df: DataFrame, number: int, size: int, *order: Column | str) -> DataFra
 def numbered(df: DataFrame, *order: Column | str) -> DataFrame:
     """A small report with a row number."""
     return df.withColumn("row", F.row_number().over(Window.orderBy(*order)))
+
+
+def scatter(df: DataFrame, key: str, x: str, y: str) -> DataFrame:
+    """(key, x, y) of the rows whose coordinates are both numbers, neither NULL, NaN nor infinite."""
+    number = lambda c: F.col(c).cast("double")
+    finite = lambda c: F.coalesce(F.abs(number(c)) < float("inf"), F.lit(False)) & ~F.isnan(number(c))
+    return df.where(finite(x) & finite(y)).select(key, number(x).alias("x"), number(y).alias("y"))
+
+
+def quoted(value: Column) -> Column:
+    """Struct(speaker, text) of 'user: text' or 'assistant: text', quotes around the text left out; any other text has no speaker."""
+    v = trimmed(F.coalesce(value, F.lit("")))
+    said = v.rlike(r"(?i)^(user|assistant)\s*:\s*.+$")
+    text = trimmed(F.regexp_replace(v, r"(?i)^(user|assistant)\s*:\s*", ""))
+    inside = text.rlike(r"""(?s)^(?:'.*'|".*")$""") & (F.length(text) >= 2)
+    bare = F.when(inside, trimmed(F.call_function("substring", text, F.lit(2), F.length(text) - 2))).otherwise(text)
+    return F.struct(F.when(said, F.lower(F.regexp_extract(v, r"(?i)^(user|assistant)", 1))).alias("speaker"), F.when(said, bare).otherwise(v).alias("text"))

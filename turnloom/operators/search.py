@@ -236,18 +236,25 @@ def ranked_all(scores: DataFrame, key: str) -> DataFrame:
 
 
 def subsets(sets: DataFrame, key: str, item: str) -> DataFrame:
-    """(key, superset): keys whose items all occur under another key; of equal sets the larger key is the subset.
+    """(key, superset): each key whose items all occur under another key, told by the least keys of their classes of equal sets.
 
-    A key meets only those that hold its rarest item, then the shared items are counted; no two keys are paired
-    that share nothing. An empty set has no rows and takes no part.
+    Keys with equal sets are one class first, by a count and two sums of hashes, and are compared once: of a class the
+    keys but the least name the least as their superset; the least key names the least of each class with more items that holds all of its
+    own. A class meets only those that hold its rarest item, then the shared items are counted. An empty set has no
+    rows and takes no part; NULL keys and items neither.
     """
     items = cut_lineage(sets.select(F.col(key).alias("k"), F.col(item).alias("i")).where("k is not null and i is not null").distinct())
-    often = items.groupBy("i").agg(F.count(F.lit(1)).alias("n"))
-    sizes = items.groupBy("k").agg(F.count(F.lit(1)).alias("size"))
-    rarest = items.join(often, "i").groupBy("k").agg(F.min_by("i", F.struct("n", "i")).alias("i"))
-    pairs = rarest.join(items.select(F.col("k").alias("other"), "i"), "i").where("k != other").select("k", "other")
-    of = lambda name, n: sizes.select(F.col("k").alias(name), F.col("size").alias(n))
-    pairs = pairs.join(of("k", "size"), "k").join(of("other", "other_size"), "other").where("size < other_size or (size = other_size and k > other)")
-    shared = pairs.join(items, "k").join(items.select(F.col("k").alias("other"), "i"), ["other", "i"]).groupBy("k", "other", "size").agg(F.count(F.lit(1)).alias("shared"))
-    return shared.where("shared = size").select(F.col("k").alias(key), F.col("other").alias("superset"))
-
+    wide = lambda seed: F.sum(F.xxhash64(F.lit(seed), "i").cast("decimal(20,0)"))
+    sizes = items.groupBy("k").agg(F.count(F.lit(1)).alias("size"), wide(1).alias("h1"), wide(2).alias("h2"))
+    least = sizes.groupBy("size", "h1", "h2").agg(F.min("k").alias("rep"))
+    members = cut_lineage(sizes.join(least, ["size", "h1", "h2"]).select("k", "rep", "size"))
+    heads = members.where("k = rep").select("k", "size")
+    held = cut_lineage(items.join(heads.select("k"), "k"))
+    often = held.groupBy("i").agg(F.count(F.lit(1)).alias("n"))
+    rarest = held.join(often, "i").groupBy("k").agg(F.min_by("i", F.struct("n", "i")).alias("i"))
+    pairs = rarest.join(held.select(F.col("k").alias("other"), "i"), "i").where("k != other").select("k", "other")
+    of = lambda name, n: heads.select(F.col("k").alias(name), F.col("size").alias(n))
+    pairs = cut_lineage(pairs.join(of("k", "size"), "k").join(of("other", "other_size"), "other").where("size < other_size").select("k", "other", "size"))
+    shared = pairs.join(held, "k").join(held.select(F.col("k").alias("other"), "i"), ["other", "i"]).groupBy("k", "other", "size").agg(F.count(F.lit(1)).alias("shared"))
+    equal = members.where("k != rep").select(F.col("k").alias(key), F.col("rep").alias("superset"))
+    return equal.unionByName(shared.where("shared = size").select(F.col("k").alias(key), F.col("other").alias("superset")))

@@ -85,3 +85,52 @@ def c06_sorted_table(spark: SparkSession, folder: str) -> DataFrame:
     held = table(spark, folder, "parsed_sessions").select("session_id", "title").where(F.lower(F.concat_ws(" ", F.coalesce("title", F.lit("")), "session_id")).contains("a"))
     order = (F.lower("title").asc_nulls_last(), F.col("session_id"))
     return numbered(cut_lineage(held.orderBy(*order).limit(50)), *order)
+
+
+_METRICS = f"""{_EDITS}, m AS (SELECT x.file, e.request_id, e.session_row_id, {_LINES.format(c='after')} AS added, {_LINES.format(c='before')} AS removed FROM x JOIN parsed_events e ON e.id = x.event_row_id WHERE file IS NOT NULL)"""
+
+
+def _metrics(spark: SparkSession, folder: str) -> DataFrame:
+    """(file, request_id, session_row_id, added, removed): the code metrics that edits give."""
+    calls = table(spark, folder, "parsed_tool_calls").select("id", "event_row_id")
+    events = table(spark, folder, "parsed_events").select(F.col("id").alias("event_row_id"), "request_id", "session_row_id")
+    return _edits(spark, folder).join(calls, "id").join(events, "event_row_id").select("file", "request_id", "session_row_id", F.col("lines_after").alias("added"), F.col("lines_before").alias("removed"))
+
+
+@query(f"WITH {_METRICS} SELECT file, count(DISTINCT request_id) AS requests, CAST(sum(added) AS BIGINT) AS added, CAST(sum(removed) AS BIGINT) AS removed FROM m GROUP BY file ORDER BY requests DESC, added DESC, file LIMIT 50")
+def a18_edit_hotspots(spark: SparkSession, folder: str) -> DataFrame:
+    """The files that most requests change, of the metrics of edits."""
+    per = _metrics(spark, folder).groupBy("file").agg(F.countDistinct("request_id").alias("requests"), F.sum("added").alias("added"), F.sum("removed").alias("removed"))
+    return per.orderBy(F.col("requests").desc(), F.col("added").desc(), "file").limit(50)
+
+
+@query(f"WITH {_METRICS} SELECT s.session_id, m.file, count(*) AS edits, round(avg(added - removed), 3) AS net FROM m JOIN parsed_sessions s ON s.id = m.session_row_id GROUP BY 1, 2")
+def a17_edit_evolution(spark: SparkSession, folder: str) -> DataFrame:
+    """Edits and their average net lines per session and file."""
+    sessions = table(spark, folder, "parsed_sessions").select(F.col("id").alias("session_row_id"), "session_id")
+    return _metrics(spark, folder).join(sessions, "session_row_id").groupBy("session_id", "file").agg(F.count(F.lit(1)).alias("edits"), F.round(F.avg(F.col("added") - F.col("removed")), 3).alias("net"))
+
+
+@query(f"""WITH {_METRICS}, r AS (SELECT t.model_id, m.added FROM m JOIN turns t ON t.request_id = m.request_id AND t.role = 'assistant' WHERE m.request_id != ''), k AS (SELECT coalesce(nullif(model_id, ''), 'unknown') AS model, CAST(sum(added) AS BIGINT) AS lines FROM r GROUP BY 1) SELECT model, lines FROM k WHERE lines > 0""")
+def a32_model_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """Added lines of the edits by the model of their request; models without any are left out."""
+    turns = table(spark, folder, "turns").where("role = 'assistant' and request_id != ''").select("request_id", F.coalesce(F.nullif("model_id", F.lit("")), F.lit("unknown")).alias("model"))
+    return _metrics(spark, folder).join(turns, "request_id").groupBy("model").agg(F.sum("added").alias("lines")).where("lines > 0")
+
+
+@query("SELECT id, CAST(response_time_ms AS DOUBLE) AS x, CAST(weighted_complexity_change AS DOUBLE) AS y FROM turns WHERE response_time_ms IS NOT NULL AND weighted_complexity_change IS NOT NULL AND NOT isnan(weighted_complexity_change) AND NOT isinf(weighted_complexity_change)")
+def c05_scatter(spark: SparkSession, folder: str) -> DataFrame:
+    """Points with finite coordinates."""
+    from turnloom.operators.charts import scatter
+
+    return scatter(table(spark, folder, "turns"), "id", "response_time_ms", "weighted_complexity_change")
+
+
+@query(r"""WITH q AS (SELECT id, trim(role || ': ' || chr(39) || regexp_replace(left(coalesce(original_text, ''), 80), '\s+', ' ', 'g') || chr(39)) AS v FROM turns WHERE role IS NOT NULL), p AS (SELECT id, v, regexp_matches(v, '(?i)^(user|assistant)\s*:\s*.+$') AS said, trim(regexp_replace(v, '(?i)^(user|assistant)\s*:\s*', '')) AS t FROM q)
+SELECT id, CASE WHEN said THEN lower(regexp_extract(v, '(?i)^(user|assistant)', 1)) END AS speaker, CASE WHEN NOT said THEN v WHEN length(t) >= 2 AND left(t, 1) = right(t, 1) AND left(t, 1) IN (chr(39), '"') THEN trim(t[2:-2]) ELSE t END AS text FROM p""")
+def c14_quotes(spark: SparkSession, folder: str) -> DataFrame:
+    """C14: quotes with their speaker, put together from the beginnings of turns."""
+    from turnloom.operators.charts import quoted
+
+    line = F.concat(F.col("role"), F.lit(": '"), F.regexp_replace(F.left(F.coalesce("original_text", F.lit("")), F.lit(80)), r"\s+", " "), F.lit("'"))
+    return table(spark, folder, "turns").where("role is not null").select("id", quoted(line).alias("q")).select("id", "q.speaker", "q.text")

@@ -72,13 +72,41 @@ def j24_nested_workspaces(spark: SparkSession, folder: str) -> DataFrame:
     return above.join(folders.select(F.col("inside").alias("folder")), "folder", "left_semi").select("folder", "inside")
 
 
-@query("""WITH s AS (SELECT session_id, list_sort(list_distinct(list(md5(original_text)))) AS items FROM turns WHERE session_id IS NOT NULL AND original_text IS NOT NULL GROUP BY 1)
-SELECT a.session_id, b.session_id AS superset FROM s a JOIN s b ON a.session_id != b.session_id AND list_has_all(b.items, a.items) AND (len(a.items) < len(b.items) OR (len(a.items) = len(b.items) AND a.session_id > b.session_id))""")
+def _subset_sql(items: str) -> str:
+    return f"""WITH i AS ({items}), s AS (SELECT session_id, list_sort(list_distinct(list(item))) AS items FROM i WHERE session_id IS NOT NULL AND item IS NOT NULL GROUP BY 1), c AS (SELECT *, min(session_id) OVER (PARTITION BY items) AS rep FROM s)
+SELECT session_id, rep AS superset FROM c WHERE session_id != rep UNION ALL SELECT a.session_id, b.session_id FROM c a JOIN c b ON a.session_id = a.rep AND b.session_id = b.rep AND len(a.items) < len(b.items) AND list_has_all(b.items, a.items)"""
+
+
+@query(_subset_sql("SELECT session_id, md5(original_text) AS item FROM turns"))
 def j25_subset_sessions(spark: SparkSession, folder: str) -> DataFrame:
     """Sessions whose texts all occur in another session."""
     return S.subsets(table(spark, folder, "turns").where("original_text is not null").select("session_id", F.md5("original_text").alias("item")), "session_id", "item")
 
 
+@query(_subset_sql("SELECT session_id, model_id || ':' || primary_language AS item FROM turns"))
+def j25_subset_topics(spark: SparkSession, folder: str) -> DataFrame:
+    """Sessions whose pairs of model and language all occur in another session; many are equal."""
+    return S.subsets(table(spark, folder, "turns").select("session_id", F.concat(F.col("model_id"), F.lit(":"), F.col("primary_language")).alias("item")), "session_id", "item")
+
+
+@query("""WITH f AS (SELECT unnest(CAST(json_extract(files, '$[*]') AS JSON[])) AS v FROM turns WHERE files LIKE '[%' AND json_valid(files)), d AS (SELECT DISTINCT regexp_replace(json_extract_string(v, '$'), '/[^/]*$', '') AS folder FROM f WHERE contains(json_extract_string(v, '$'), '/'))
+SELECT a.folder, b.folder AS inside FROM d a JOIN (SELECT DISTINCT json_extract_string(v, '$') AS folder FROM f) b ON starts_with(b.folder, a.folder || '/')""")
+def j24_files_in_folders(spark: SparkSession, folder: str) -> DataFrame:
+    """The folders of files, with all files below them: each file's prefixes are looked up, no theta join."""
+    files = table(spark, folder, "turns").select(F.explode(A.text_list(F.col("files"))).alias("inside")).distinct()
+    folders = files.where(F.col("inside").contains("/")).select(F.regexp_replace("inside", "/[^/]*$", "").alias("folder")).distinct()
+    parts = F.split("inside", "/")
+    above = files.where(F.size(parts) > 1).select("inside", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))).alias("folder"))
+    return above.join(folders, "folder", "left_semi").select("folder", "inside")
+
+
+@query("SELECT id FROM parsed_events e WHERE NOT EXISTS (SELECT 1 FROM parsed_content_blocks b WHERE b.event_row_id = e.id)")
+def j23_events_without_blocks(spark: SparkSession, folder: str) -> DataFrame:
+    """Events without any block, an anti join."""
+    blocks = table(spark, folder, "parsed_content_blocks").select(F.col("event_row_id").alias("id"))
+    return table(spark, folder, "parsed_events").select("id").join(blocks, "id", "left_anti")
+
+
 TERMS = ["heatmap", "sessions"]
 _WORDS = r"list_filter(string_split_regex(strip_accents(lower(text)), '[^\p{L}\p{N}]+'), lambda w: w != '')"
 _TF = ", ".join(f"len(list_filter(w, lambda x: x = '{t}')) AS tf{i}" for i, t in enumerate(TERMS))

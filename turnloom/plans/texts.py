@@ -84,3 +84,23 @@ def r11_embedding_backfill(spark: SparkSession, folder: str) -> DataFrame:
 def f35_iso_texts(spark: SparkSession, folder: str) -> DataFrame:
     """instants in milliseconds as ISO texts."""
     return table(spark, folder, "turns").where("timestamp_ms is null or timestamp_ms between 0 and 10000000000000").select("id", X.iso_of(F.col("timestamp_ms")).alias("iso"))
+
+
+@query(r"""WITH t AS (SELECT doc_id, title AS s, string_split(title, '') AS c, list_filter(string_split_regex(title, '\s+'), lambda w: w != '') AS w FROM documents WHERE title IS NOT NULL AND title != '' AND NOT regexp_matches(title, '[^ -~]'))
+SELECT doc_id, round(list_entropy(c), 6) AS entropy, round(len(list_filter(c, lambda x: regexp_matches(x, '[0-9]'))) / length(s)::DOUBLE, 6) AS digit_ratio, round(CASE WHEN length(s) > 1 THEN len(list_filter(range(1, length(s)), lambda i: c[i] = c[i + 1])) / (length(s) - 1)::DOUBLE ELSE 0 END, 6) AS repetition_ratio,
+round(coalesce(list_sum(list_transform(w, lambda x: length(x))) / len(w)::DOUBLE, 0), 6) AS mean_word_length, round(coalesce(len(list_filter(w, lambda x: length(x) > 8)) / len(w)::DOUBLE, 0), 6) AS long_word_ratio FROM t""")
+def f48_line_features(spark: SparkSession, folder: str) -> DataFrame:
+    """the features of a line, of the titles in ASCII."""
+    from turnloom.functions.shrink import features_column
+
+    rows = table(spark, folder, "documents").where("title != '' and not title rlike '[^ -~]'").select("doc_id", features_column(F.col("title")).alias("f"))
+    return rows.select("doc_id", *[F.round(f"f.{c}", 6).alias(c) for c in ("entropy", "digit_ratio", "repetition_ratio", "mean_word_length", "long_word_ratio")])
+
+
+@query()
+def f37_block_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """the texts of nested blocks, in two ways; no SQL, compared with values by hand in tests."""
+    from turnloom.functions.shrink import text_column
+
+    raw = F.col("raw_json")
+    return table(spark, folder, "parsed_content_blocks").select("id", text_column(raw).alias("coerced"), text_column(raw, "flattened").alias("flattened"))
