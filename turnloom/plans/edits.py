@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from turnloom.functions.dates import utc, utc_sql
 from turnloom.functions.text import SPACE, digest
 from turnloom.functions.vectors import dot
+from turnloom.operators import enrich
 from turnloom.operators import index as N
 from turnloom.operators.adapter import code_edits
+from turnloom.operators.analytics import IN_MS
 from turnloom.plans.registry import query
 from turnloom.sources.tables import table
 
@@ -134,3 +137,29 @@ def c14_quotes(spark: SparkSession, folder: str) -> DataFrame:
 
     line = F.concat(F.col("role"), F.lit(": '"), F.regexp_replace(F.left(F.coalesce("original_text", F.lit("")), F.lit(80)), r"\s+", " "), F.lit("'"))
     return table(spark, folder, "turns").where("role is not null").select("id", quoted(line).alias("q")).select("id", "q.speaker", "q.text")
+
+
+@query(f"""WITH {_EDITS}, c AS (SELECT x.id, s.session_id, x.file, CASE WHEN e.{IN_MS} THEN e.timestamp_ms ELSE 0 END AS ms, nullif(x.before, '') AS before, nullif(x.after, '') AS after FROM x JOIN parsed_events e ON e.id = x.event_row_id JOIN parsed_sessions s ON s.id = e.session_row_id WHERE x.file IS NOT NULL),
+l AS (SELECT *, lag(after) OVER (PARTITION BY session_id, file ORDER BY ms, id) AS earlier FROM c)
+SELECT id, session_id, file, CASE WHEN coalesce(before, '') = '' THEN coalesce(earlier, before) ELSE before END AS before, after FROM l""")
+def t10_chained_edits(spark: SparkSession, folder: str) -> DataFrame:
+    """An edit that doesn't say what it found takes what the edit before it left in the same file of its session."""
+    calls = table(spark, folder, "parsed_tool_calls")
+    edits = code_edits(calls.select("id", "name", F.col("arguments_json").alias("arguments"), F.col("file_paths_json").alias("file_paths"), F.lit(None).cast("string").alias("raw")))
+    events = table(spark, folder, "parsed_events").select(F.col("id").alias("event_row_id"), "session_row_id", F.when(F.expr(IN_MS), F.col("timestamp_ms")).otherwise(0).alias("at"))
+    sessions = table(spark, folder, "parsed_sessions").select(F.col("id").alias("session_row_id"), "session_id")
+    rows = edits.join(calls.select("id", "event_row_id"), "id").join(events, "event_row_id").join(sessions, "session_row_id")
+    # one workspace and agent here: the session tells both
+    keyed = rows.select(F.lit("").alias("workspace"), F.lit("").alias("agent"), F.col("session_id").alias("session"), "file", "at", F.col("id").alias("ord"), F.nullif("before", F.lit("")).alias("before"), F.nullif("after", F.lit("")).alias("after"))
+    made = enrich.chained_edits(keyed)
+    return made.select(F.col("ord").alias("id"), F.col("session").alias("session_id"), "file", F.nullif("before", F.lit("")).alias("before"), "after")
+
+
+@query(f"""WITH d AS (SELECT id, agent_used AS agent, model_id, CAST({utc_sql('timestamp_iso')} AS DATE) AS day FROM turns WHERE agent_used IS NOT NULL AND {utc_sql('timestamp_iso')} IS NOT NULL),
+m AS (SELECT agent, model_id, min(day) AS since FROM d WHERE model_id != '' GROUP BY 1, 2), t AS (SELECT agent, since, max(model_id) AS model FROM m GROUP BY 1, 2)
+SELECT d.id, CASE WHEN coalesce(d.model_id, '') = '' THEN coalesce(t.model, d.model_id) ELSE d.model_id END AS model_id FROM d ASOF LEFT JOIN t ON d.agent = t.agent AND d.day >= t.since""")
+def t14_default_models(spark: SparkSession, folder: str) -> DataFrame:
+    """Turns without a model take the agent's latest one up to their day, of a timeline of first uses."""
+    turns = table(spark, folder, "turns").where("agent_used is not null").select("id", F.col("agent_used").alias("agent"), F.to_date(utc(F.col("timestamp_iso"))).alias("day"), "model_id").where("day is not null")
+    uses = turns.where("model_id != ''").groupBy("agent", "model_id").agg(F.min("day").alias("since"))
+    return enrich.defaulted_models(turns, uses.groupBy("agent", "since").agg(F.max("model_id").alias("model"))).select("id", "model_id")
