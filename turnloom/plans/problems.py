@@ -10,7 +10,7 @@ from turnloom.sources.tables import table
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
-    """Each row of turns with a readable time and its instant."""
+    """each row of turns with a readable time and its instant."""
     turns = table(spark, folder, "turns").select("id", "session_id", "timestamp_ms", "timestamp_iso", "ts")
     sessions = table(spark, folder, "parsed_sessions").select("session_id", "metadata_json")
     return timestamps.normalise_times(turns, sessions).where(F.col("utc_ms").isNotNull())
