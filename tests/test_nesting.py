@@ -79,3 +79,23 @@ def test_tables(spark):
     found = {r.body: r.occurrences for r in objects(bridge).collect()}
     assert found == {'{"a":1}': 4, "{}": 1}
     assert occurrences(spark.createDataFrame([], "src string, row_id long, text string")).count() == 0
+
+
+def test_objects_and_bridge_of_real_tables_fit(spark, small):
+    """Every object is stored once, its occurrences add up to the bridge, and every reference and parent leads to a stored object."""
+    import re
+
+    from turnloom.plans.problems import p4_bridge, p4_found, p4_objects
+
+    bridge = p4_bridge(spark, small).collect()
+    stored = {r.object_id: r for r in p4_objects(spark, small).collect()}
+    assert {r.object_id for r in bridge} == set(stored) and sum(r.occurrences for r in stored.values()) == len(bridge) > 100
+    assert all(x in stored for r in stored.values() for x in re.findall(r'\{"\$object":"([0-9a-f]{32})"\}', r.body))
+    at = {(r.src, r.row_id, r.node): r for r in bridge}
+    assert len(at) == len(bridge)
+    for r in bridge:
+        if r.holder is not None:
+            assert at[r.src, r.row_id, r.holder].object_id == r.holder_id and r.node.startswith(r.holder)
+        if r.parent:
+            assert at[r.src, r.row_id, r.parent].in_array
+    assert p4_found(spark, small).count() == sum(r.in_array for r in bridge)

@@ -51,6 +51,23 @@ def test_delta_log(spark, tmp_path):
     assert L.folded_files(iter(["a.json", "a.jsonl", "b.json"])) == ["a.jsonl", "b.json"]
 
 
+def test_line_numbers_over_splits(spark, tmp_path):
+    """A file read in many splits has the line numbers of the whole, blank lines counted."""
+    text = ["" if i % 11 == 3 else json.dumps({"n": i, "x": "y" * (i % 40)}) for i in range(900)]
+    path = write(tmp_path / "long.jsonl", text)
+    write(tmp_path / "other.jsonl", [{"n": 0}, {"n": 1}])
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+    try:
+        got = L.lines(spark, [path, str(tmp_path / "other.jsonl")])
+        assert spark.read.text(path).rdd.getNumPartitions() > 4
+        rows = [(r.file[-10:], r.event_index, json.loads(r.line)["n"]) for r in got.collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert sorted(i for f, i, n in rows if f == "long.jsonl"[-10:]) == [i for i in range(900) if i % 11 != 3]
+    assert all(i == n for _, i, n in rows) and len(rows) == 2 + len([t for t in text if t])
+
+
 def test_replay():
     start = {"kind": 0, "v": {"requests": [], "n": 1}}
     say = lambda *more: L.replayed([start, *more])

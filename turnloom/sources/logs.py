@@ -1,7 +1,6 @@
 """Session logs of several assistants, as lines and documents, to one event table.
 
-EVENT is the common shape. A line that isn't a JSON object becomes an issue and no event. A file is one row while it
-is split into lines, so that lines keep their numbers; a session file is small beside a task.
+EVENT is the common shape. A line that isn't a JSON object becomes an issue and no event.
 """
 
 from __future__ import annotations
@@ -15,17 +14,30 @@ from pyspark.sql import functions as F
 
 from turnloom.functions import jsontree as J
 from turnloom.functions.text import path as normal_path
+from turnloom.operators.neighbours import running
 
 EVENT = ("file", "event_index", "event_type", "role", "timestamp", "message_id", "parent_id", "session_id", "model_id", "text", "thinking_text", "tool_names", "input_tokens", "output_tokens")
 
 
 def lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """(file, event_index, line, valid) of the non-blank lines of JSONL files; event_index is the line number from 0."""
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
-    each = files.select("file", F.posexplode(F.split("value", "\r?\n")).alias("event_index", "line")).where(F.trim("line") != "")
+    """(file, event_index, line, valid) of the non-blank lines of JSONL files; event_index is the line number from 0.
+
+    Files are read in splits, however long they are; a line's number is its place in its split and the number of lines
+    in the splits of its file before.
+    """
+    read = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split_"), F.monotonically_increasing_id().alias("place_"), F.col("value").alias("line"))
+    each = running(read, "file", F.col("split_"), ["place_"], sums={"event_index": F.lit(1)})
+    each = each.select("file", F.col("event_index").cast("int").alias("event_index"), "line").where(F.trim("line") != "")
     return each.withColumn("valid", F.try_parse_json("line").isNotNull() & F.trim("line").startswith("{"))
 
 
+def _carried(rows: DataFrame, name: str, value: Column) -> DataFrame:
+    """rows with the last value up to each row of its file that isn't NULL, file by file in buckets of lines."""
+    rows = rows.withColumn("own_", value)
+    rows = running(rows, "file", F.floor(F.col("event_index") / 4096), ["event_index"], maxes={"held_": F.when(F.col("own_").isNotNull(), F.struct("event_index", "own_"))})
+    return rows.withColumn(name, F.coalesce("own_", "held_.own_")).drop("own_", "held_")
+
+
 def issues(rows: DataFrame) -> DataFrame:
     """(file, line_number, issue) of the lines that can't be read."""
     return rows.where("not valid").select("file", (F.col("event_index") + 1).alias("line_number"), F.lit("invalid_jsonl_line").alias("issue"))
@@ -62,8 +74,8 @@ def tree_events(rows: DataFrame) -> DataFrame:
 
 def rollout_events(rows: DataFrame) -> DataFrame:
     """Events of rollout logs: {type, timestamp, payload}; messages and tool calls count, the model is that of the last turn context before."""
-    before = Window.partitionBy("file").orderBy("event_index").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.where("valid").withColumn("model_", F.last(F.when(_get("type") == "turn_context", _get("payload.model")), ignorenulls=True).over(before)).withColumn("session_", F.last(F.when(_get("type") == "session_meta", _get("payload.id")), ignorenulls=True).over(before))
+    rows = _carried(rows.where("valid"), "model_", F.when(_get("type") == "turn_context", _get("payload.model")))
+    rows = _carried(rows, "session_", F.when(_get("type") == "session_meta", _get("payload.id")))
     kind = _get("payload.type")
     role = F.when(kind == "user_message", "user").when(kind.isin("agent_message", "agent_reasoning", "exec_command_begin", "mcp_tool_call_begin", "patch_apply_begin"), "assistant")
     rows = rows.where((_get("type") == "event_msg") & role.isNotNull())
@@ -73,10 +85,11 @@ def rollout_events(rows: DataFrame) -> DataFrame:
 
 def command_line_events(rows: DataFrame) -> DataFrame:
     """Events of command-line logs: {type: user.message and so on, timestamp, data: {content, model, toolRequests}}; a model change holds from then on."""
-    before = Window.partitionBy("file").orderBy("event_index").rowsBetween(Window.unboundedPreceding, 0)
     kind = _get("type")
     model = F.coalesce(F.when(kind == "session.model_change", F.coalesce(_get("data.newModel"), _get("data.model"))), F.when(kind == "session.start", _get("data.selectedModel")), F.when(kind == "assistant.message", _get("data.model")))
-    rows = rows.where("valid").withColumn("model_", F.last(model, ignorenulls=True).over(before)).withColumn("session_", F.first(_get("data.sessionId"), ignorenulls=True).over(before))
+    first = rows.where("valid").groupBy(F.col("file").alias("file_")).agg(F.min(F.when(_get("data.sessionId").isNotNull(), F.struct("event_index", _get("data.sessionId").alias("id")))).alias("first_"))
+    rows = _carried(rows.where("valid"), "model_", model).join(first, F.col("file") == F.col("file_"))
+    rows = rows.withColumn("session_", F.when(F.col("first_.event_index") <= F.col("event_index"), F.col("first_.id")))
     rows = rows.where(kind.isin("user.message", "assistant.message"))
     tools = F.transform(F.from_json(_get("data.toolRequests"), "array<struct<name:string>>"), lambda t: t["name"])
     return _shaped(rows, event_type=kind, role=F.split(kind, r"\.")[0], timestamp=_get("timestamp"), message_id=F.coalesce(_get("data.messageId"), _get("id")), session_id=F.col("session_"), model_id=F.when(kind == "assistant.message", F.col("model_")), text=_get("data.content"), tool_names=tools)
