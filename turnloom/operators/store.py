@@ -23,6 +23,11 @@ def without(df: DataFrame, gone: DataFrame, column: str, key: str) -> DataFrame:
     return df.join(gone.select(F.col(key).alias("gone_")).distinct(), F.col(column) == F.col("gone_"), "left_anti")
 
 
+def replaced(df: DataFrame, incoming: DataFrame, key: str) -> DataFrame:
+    """df with all rows of each key that incoming has replaced by the incoming rows; both have the same columns, and rows with a NULL key are kept beside each other."""
+    return without(df, incoming.where(F.col(key).isNotNull()), key, key).unionByName(incoming)
+
+
 def replace_partitions(df: DataFrame, path: str, by: str) -> None:
     """Writes df so that the partitions it holds replace those on disk and the others stay."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)

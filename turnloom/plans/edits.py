@@ -53,6 +53,13 @@ def k12_postings(spark: SparkSession, folder: str) -> DataFrame:
     return N.postings(table(spark, folder, "documents"))
 
 
+@query("""SELECT term, doc_id, count(*) AS tf FROM (SELECT doc_id, unnest(list_filter(string_split_regex(strip_accents(lower(CASE WHEN source = 'session_log' THEN text ELSE title END)), '[^\\p{L}\\p{N}]+'), lambda w: w != '')) AS term FROM documents WHERE CASE WHEN source = 'session_log' THEN text ELSE title END IS NOT NULL) GROUP BY 1, 2""")
+def k11_refreshed_postings(spark: SparkSession, folder: str) -> DataFrame:
+    """The index of the titles, after the documents of one source have changed to their texts."""
+    docs = table(spark, folder, "documents")
+    return N.refreshed(N.postings(docs, text="title"), docs.where("source = 'session_log'").select("doc_id", "text"))
+
+
 _BARE = f"regexp_replace(d.text, '^{SPACE}+|{SPACE}+$', '', 'g')"
 
 

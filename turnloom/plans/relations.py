@@ -223,6 +223,15 @@ def k06_merged_fragments(spark: SparkSession, folder: str) -> DataFrame:
     return store.merged_fragments(rows, "session_id", "id")
 
 
+@query("""WITH i AS (SELECT workspace_row_id, parent_session_id AS session_id, 'taken in again' AS title FROM parsed_sessions WHERE parent_session_id IS NOT NULL)
+SELECT workspace_row_id, session_id, title FROM parsed_sessions WHERE workspace_row_id IS NULL OR workspace_row_id NOT IN (SELECT workspace_row_id FROM i WHERE workspace_row_id IS NOT NULL) UNION ALL SELECT * FROM i""")
+def k05_replaced_workspaces(spark: SparkSession, folder: str) -> DataFrame:
+    """The workspaces that have children taken in again, as the parents only; what was there of them is replaced."""
+    rows = table(spark, folder, "parsed_sessions")
+    incoming = rows.where("parent_session_id is not null").select("workspace_row_id", F.col("parent_session_id").alias("session_id"), F.lit("taken in again").alias("title"))
+    return store.replaced(rows.select("workspace_row_id", "session_id", "title"), incoming, "workspace_row_id")
+
+
 @query("""SELECT session_id, turns, last_ms FROM (SELECT session_id, count(*) AS turns, max(CASE WHEN timestamp_ms > 0 THEN timestamp_ms END) AS last_ms FROM turns WHERE session_id IS NOT NULL GROUP BY 1) ORDER BY last_ms DESC NULLS LAST, session_id LIMIT 20 OFFSET 20""")
 def o06_session_page(spark: SparkSession, folder: str) -> DataFrame:
     """The second page of the sessions, latest first, those without a time last."""
