@@ -152,3 +152,48 @@ def test_second_scan_of_a_table_finds_nothing(spark, small):
     assert found(once.select("src", "row_id", "text")).count() == 0
     kept = once.where("size(kinds) = 0").select("src", "row_id", "text").exceptAll(rows.select("src", "row_id", "text"))
     assert kept.count() == 0
+
+
+@pytest.mark.parametrize("content", [None, b"", b"eA== 0\n"])
+def test_no_result_without_the_vocabulary(monkeypatch, tmp_path, content):
+    """A vocabulary that isn't there or holds no words is an error, not a text without names."""
+    from turnloom.llm import pii
+
+    path = tmp_path / "v.tiktoken"
+    if content is not None:
+        path.write_bytes(content)
+    monkeypatch.setattr(pii.tokens, "default_ranks", lambda: str(path))
+    pii._vocabulary.cache_clear()
+    pii.everyday.cache_clear()
+    try:
+        with pytest.raises((OSError, ValueError)):
+            spans("Reported by Tindra Vokes.")
+    finally:
+        pii._vocabulary.cache_clear()
+        pii.everyday.cache_clear()
+
+
+def test_failure_of_a_worker_reaches_the_query(spark, monkeypatch, tmp_path):
+    from turnloom.llm import pii
+
+    def gone():
+        raise FileNotFoundError("the vocabulary")
+
+    rows = spark.createDataFrame([("t", 1, "Reported by Tindra Vokes.", "x")], FIELDS)
+    assert [r.kind for r in found(rows).collect()] == ["name"]
+    scan = pii._scan(False)
+
+    def without(batches):
+        from turnloom.llm import pii as there
+
+        ranks = there.tokens.ranks
+        there.tokens.ranks = lambda path: gone()
+        there._vocabulary.cache_clear()
+        there.everyday.cache_clear()
+        try:
+            yield from scan(batches)
+        finally:
+            there.tokens.ranks = ranks
+
+    with pytest.raises(Exception, match="the vocabulary"):
+        rows.select("src", "row_id", "text").mapInPandas(without, "src string, row_id bigint, kinds array<string>").collect()

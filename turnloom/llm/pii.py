@@ -260,20 +260,18 @@ def _name_score(given: str, family: str, initials: bool) -> float:
 
 
 @lru_cache(maxsize=1)
-def _vocabulary() -> frozenset[bytes] | None:
-    """The words in lower case of a public vocabulary that are one token after a blank; None where its file isn't there."""
-    try:
-        ranks = tokens.ranks(None)
-    except (OSError, ImportError):
-        return None
-    return frozenset(t[1:] for t in ranks if t[:1] == b" " and t[1:].decode("utf-8", "ignore").islower())
+def _vocabulary() -> frozenset[bytes]:
+    """The words in lower case of a public vocabulary that are one token after a blank. Without its file, or with one that holds no words, nothing can be said of names, so this fails."""
+    words = frozenset(t[1:] for t in tokens.ranks(None) if t[:1] == b" " and t[1:].decode("utf-8", "ignore").islower())
+    if not words:
+        raise ValueError(f"no words in {tokens.default_ranks()}")
+    return words
 
 
 @lru_cache(maxsize=1 << 16)
 def everyday(word: str) -> bool:
-    """Whether a word is often written in lower case, as names aren't: if its lower-case form is one token of a public vocabulary. Without that file every word counts as one."""
-    words = _vocabulary()
-    return words is None or word.lower().encode() in words
+    """Whether a word is often written in lower case, as names aren't: if its lower-case form is one token of a public vocabulary."""
+    return word.lower().encode() in _vocabulary()
 
 
 def _beside(text: str, start: int, end: int, given: str, family: str) -> float:
